@@ -33,7 +33,7 @@ class WordTokenizer:
     The file's model sees one word at a time and no word spans white space, so the ids of words and of
     white-space separated runs are kept and looked up again; at most ``keep`` of them are kept."""
 
-    def __init__(self, path: str, keep: int = 900_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.keep, self.known = Tokenizer.from_file(path), keep, {}
@@ -96,7 +96,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         tok = tokenizer(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"], tok([t or "" for t in batch["text"]]), strict=True):
+            texts = [t or "" for t in batch["text"]]
+            groups = (tok(texts[k : k + 256]) for k in range(0, len(texts), 256))  # a group's words are in memory one by one
+            for doc, ids in zip(batch["doc_id"], chain.from_iterable(groups), strict=True):
                 ids += end_id.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
