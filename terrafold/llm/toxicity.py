@@ -132,13 +132,14 @@ class Lexicon:
 
 
 def beginnings(text: str | None, least: int = 3, most: int = 10) -> set[str]:
-    """Every beginning of every word, and every whole word with ``$``."""
-    out: set[str] = set()
-    for w in set(WORD.findall((text or "").lower())):
+    """Every beginning of every word, and every whole word with ``$``; with ``2`` before it if two words of the text have it."""
+    seen: Counter[str] = Counter()
+    for w in WORD.findall((text or "").lower()):
         if len(w) >= least and w.isalpha():
-            out.add(w[:24] + "$")
-            out.update(w[:k] for k in range(least, min(most, len(w)) + 1))
-    return out
+            seen[w[:24] + "$"] += 1
+            for k in range(least, min(most, len(w)) + 1):
+                seen[w[:k]] += 1
+    return {*seen, *(f"2{u}" for u, n in seen.items() if n > 1)}
 
 
 def twins(keys: list[tuple[int, int]]) -> list[int]:
@@ -158,36 +159,41 @@ def twins(keys: list[tuple[int, int]]) -> list[int]:
     return [root(i) for i in range(len(keys))]
 
 
-def cover(witnesses: dict[str, set[int]], clean: dict[str, int], least: int, precision: float = 0.8, times: int = 3) -> list[str]:
-    """Few units that explain the toxic rows: greedily the unit with most rows not yet matched ``times`` times."""
+def cover(witnesses: dict[str, set[int]], clean: dict[str, int], least: int, precision: float = 0.5, times: int = 3) -> list[str]:
+    """Few units (a ``2`` in front is dropped) that explain the toxic rows: greedily the unit with most rows not yet matched ``times`` times.
+
+    Chance matches of a unit in clean rows may be as many as its true ones: a toxic row has several."""
     good = {u: w for u, w in witnesses.items() if len(w) >= least and len(w) >= precision * (len(w) + clean.get(u, 0))}
     need: dict[int, int] = {}
     for w in good.values():
         for i in w:
             need[i] = times
-    out: list[str] = []
+    out: dict[str, set[int]] = {}
     queue = [(-len(w), -len(u), u) for u, w in good.items()]
     heapq.heapify(queue)
     while queue:
         gain, size, u = heapq.heappop(queue)
-        now = sum(need[i] > 0 for i in good[u])
+        bare = u.strip("2$")
+        same = [out[v] for v in out if v.strip("2$").startswith(bare) or bare.startswith(v.strip("2$"))]  # these match the same words
+        new = good[u].difference(*same)
+        now = sum(need[i] > 0 for i in new)
         if now < least:
             continue
         if -gain != now:
             heapq.heappush(queue, (-now, size, u))
             continue
-        out.append(u)
-        for i in good[u]:
+        out[u] = good[u]
+        for i in new:
             need[i] -= 1
-    return out
+    return sorted({u.lstrip("2") for u in out})
 
 
 def features(found: list[tuple[str, str]], weight: dict[str, float]) -> list[float]:
-    """log(1 + weighted number) of each match kind, and of all kinds together."""
+    """log(1 + weighted number) of each match kind and of all together; whether there are two and three matches."""
     total = dict.fromkeys(MATCHES, 0.0)
     for w, kind in found:
         total[kind] += weight.get(w, 0.0)
-    return [*map(math.log1p, total.values()), math.log1p(sum(total.values()))]
+    return [*map(math.log1p, total.values()), math.log1p(sum(total.values())), float(len(found) > 1), float(len(found) > 2)]
 
 
 @dataclass
@@ -209,7 +215,7 @@ def fit(learned: list[str], rows: list[tuple[list[tuple[str, str]], int]]) -> Mo
     n = len(rows)
     positive = sum(y for _, y in rows)
     if not 0 < positive < n:
-        return Model(learned, dict.fromkeys(units, 1.0), [*[0.0] * len(MATCHES), 4.0, -2.0])
+        return Model(learned, dict.fromkeys(units, 1.0), [*[0.0] * len(MATCHES), 4.0, 0.0, 0.0, -1.5])
     in_all, in_bad = dict.fromkeys(units, 0), dict.fromkeys(units, 0)
     for found, y in rows:
         for w in {w for w, _ in found}:
@@ -245,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     def of_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             units = [beginnings(t) for t in b["text"]]
-            keys = [[min((zlib.crc32(f"{k}{u}".encode()) for u in us if u[-1] == "$"), default=zlib.crc32(str(d).encode())) for k in "ab"] for d, us in zip(b["doc_id"], units, strict=True)]
+            keys = [[min((zlib.crc32(f"{k}{u}".encode()) for u in us if u[-1] == "$" and u[0] != "2"), default=zlib.crc32(str(d).encode())) for k in "ab"] for d, us in zip(b["doc_id"], units, strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "keys": keys, "units": [sorted(u) for u in units]})
 
     toxic = written(sample.where("toxic = 1").mapInPandas(of_toxic, "doc_id long, keys array<long>, units array<string>"), "toxic")
