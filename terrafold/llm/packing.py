@@ -165,7 +165,7 @@ def pack(parts: DataFrame, capacity: int = 2048, buckets: int | None = None) ->
     the table of bucket counts has at most capacity x buckets rows. Repeated rows each take a slot; an
     empty input gives an empty result."""
     spark = parts.sparkSession
-    n = buckets or max(16, min(512, partitions(spark)))
+    n = buckets or max(16, min(128, partitions(spark)))
     keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
     counted = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counted.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
