@@ -68,3 +68,10 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
