@@ -75,3 +75,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
