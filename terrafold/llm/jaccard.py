@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, f
     slot = F.pmod(F.xxhash64("doc"), F.lit(filter_slots)).cast("int")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc"))
     wanted = np.zeros(filter_slots, bool)
-    wanted[[r[0] for r in ends.select(slot.alias("slot")).distinct().toLocalIterator()]] = True
+    wanted[ends.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most filter_slots numbers
     wanted = np.packbits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
