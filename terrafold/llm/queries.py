@@ -82,3 +82,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))

@@ -90,3 +90,114 @@ def suffix_array(s: list[int]) -> list[int]:
             placed[j] = True
             j = before[j]
     return out
+
+
+_rng = np.random.default_rng(1709)
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_MULT = [np.uint64(pow(0x9E3779B97F4A7C15, t, 2**64)) for t in (1, 2, 4, 8, 16)]
+PLACE = 24  # bits of a place in the text that is read at once
+
+
+def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, anchor, first window, last window) of each run of windows with the same anchor.
+
+    ``data`` holds texts one after another, each up to its ``ends``; windows are WIDTH bytes of one text, and
+    a window's anchor is the leftmost of its GRAM-byte strings with the least 40 high hash bits."""
+    none = np.zeros(0, np.int64)
+    if len(data) < WIDTH:
+        return none.astype(np.uint64), none, none, none
+    h = _BYTE[data]
+    for k, t in enumerate((1, 2, 4, 8, 16)):
+        h = h[:-t] * _MULT[k] + h[t:]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    low = np.uint64((1 << PLACE) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    wide, grams = 1, WIDTH - GRAM + 1
+    while 2 * wide <= grams:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    if grams > wide:
+        least = np.minimum(least[: -(grams - wide)], least[grams - wide :])
+    at = (least & low).astype(np.int64)
+    inside = np.zeros(len(at), bool)
+    begin = 0
+    for end in ends.tolist():
+        if end - begin >= WIDTH:
+            inside[begin : end - WIDTH + 1] = True
+        begin = end
+    windows = np.flatnonzero(inside)
+    if not len(windows):
+        return none.astype(np.uint64), none, none, none
+    at = at[windows]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)]))
+    last = np.append(new[1:], len(at)) - 1
+    return h[at[new]], at[new], windows[new], windows[last]
+
+
+def repeated_windows(pieces: list[tuple[bytes, int]]) -> list[np.ndarray]:
+    """For each of the distinct ``pieces`` (bytes, place of the anchor): where the windows start that also start elsewhere in them."""
+    shift = [a % STEP for _, a in pieces]
+    count = [(len(t) - x) // STEP for (t, _), x in zip(pieces, shift, strict=True)]
+    blocks = [np.frombuffer(t, "<u8", n, x) for (t, _), x, n in zip(pieces, shift, count, strict=True)]
+    known, ranks = np.unique(np.concatenate(blocks), return_inverse=True)
+    begins = np.cumsum([0, *(n + 1 for n in count)])
+    text = np.ones(begins[-1] + 1, np.int64)  # 1 stands between pieces, 0 at the end
+    text[-1] = 0
+    inside = np.ones(begins[-1] + 1, bool)
+    inside[begins[1:] - 1] = False
+    inside[-1] = False
+    text[inside] = ranks + 2
+    piece = np.repeat(np.arange(len(pieces)), np.asarray(count) + 1)
+    order = np.asarray(suffix_array(text.tolist()), np.int64)
+    order = order[order < begins[-1]]
+    j = order - begins[piece[order]]
+    order = order[np.asarray(count)[piece[order]] - j >= SYMBOLS]
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in range(SYMBOLS):
+        same &= text[order[1:] + k] == text[order[:-1] + k]
+    run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
+    size = np.bincount(run) if len(run) else run
+    many = size[run] > 1 if len(run) else np.zeros(0, bool)
+    order, run = order[many], run[many]
+    # bytes of the pieces, with room on both sides
+    length = np.array([len(t) for t, _ in pieces])
+    at = np.cumsum(np.concatenate([[STEP], length + 2 * STEP]))[:-1]
+    data = np.frombuffer(bytes(STEP) + b"".join(t + bytes(2 * STEP) for t, _ in pieces) + bytes(STEP), np.uint8)
+    own = piece[order]
+    place = np.asarray(shift)[own] + STEP * (order - begins[own])  # in its piece
+    eight = np.arange(STEP)
+
+    def word(where: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(data[where[:, None] + eight]).view("<u8")[:, 0]
+
+    left, right = word(at[own] + place - STEP), word(at[own] + place + STEP * SYMBOLS)
+    out = [np.zeros(max(0, n - WIDTH + 1), bool) for n in length]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for e in range(STEP):  # windows with e bytes before their whole symbols
+        bits = np.uint64(8 * e)
+        value = right if not e else (right << bits) | (left >> np.uint64(64 - 8 * e))
+        fits = (place >= e) & (place - e + WIDTH <= length[own])
+        r, v, o, p = run[fits], value[fits], own[fits], place[fits] - e
+        by = np.lexsort((v, r))
+        r, v, o, p = r[by], v[by], o[by], p[by]
+        equal = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
+        twice = np.concatenate([equal, [False]]) | np.concatenate([[False], equal]) if len(r) else np.zeros(0, bool)
+        found.append((o[twice], p[twice]))
+    o, p = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    by = np.argsort(o, kind="stable")
+    o, p = o[by], p[by]
+    cuts = np.searchsorted(o, np.arange(len(pieces) + 1))
+    for k in np.unique(o).tolist():
+        out[k][p[cuts[k] : cuts[k + 1]]] = True
+    return out
+
+
+def stretches(starts: np.ndarray) -> list[tuple[int, int]]:
+    """The bytes that windows at these (sorted) places cover, as maximal runs."""
+    if not len(starts):
+        return []
+    new = np.flatnonzero(np.diff(starts) > WIDTH)
+    first = starts[np.concatenate([[0], new + 1])]
+    last = starts[np.concatenate([new, [len(starts) - 1]])] + WIDTH
+    return list(zip(first.tolist(), last.tolist(), strict=True))
