@@ -1,0 +1,58 @@
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing and packing, one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from terrafold.llm.common import table, written
+from terrafold.llm.jaccard import jaccard_join
+from terrafold.llm.mixing import mixed
+from terrafold.llm.packing import best_fit
+from terrafold.llm.private import sanitised
+from terrafold.llm.queries import tokenizer_file
+from terrafold.llm.toxicity import accepted
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar does not reject."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one whose doc_id names the group; documents without an id stay."""
+    groups = jaccard_join(docs.select("doc_id", "text"))
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data generalised and disclosing terms removed."""
+    return sanitised(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix asks for; no rate is under 1, so none is lost."""
+    return mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place."""
+    return best_fit(docs, tokenizer_file())
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("personal data", hide_personal_data), ("mixing", mix), ("packing", pack)]
+
+#: The stages learn, link and tokenise in ways that SQL cannot express; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

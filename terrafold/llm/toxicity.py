@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,25 +286,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     return fit(learned, sorted([(list(zip(r["words"], r["kinds"], strict=True)), r["toxic"]) for r in rows]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with held_out, score, predicted and its clause matches.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as (doc_id, held_out, score, predicted, n_matches, kinds).
 
     A null or empty text has no match and gets the score of one. Rows are independent: repeated rows are
-    scored each, and a null doc_id is not held out. ``keep`` names the columns that go through."""
+    scored each, and a null doc_id is not held out. Other columns are ignored."""
     model = train(docs, labels)
-    schema = "held_out boolean, score double, predicted int, n_matches int, kinds array<string>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(model.learned)
         for b in batches:
-            found = [lexicon.matches(t) for t in b["_text"]]
+            found = [lexicon.matches(t) for t in b["text"]]
             score = [model.score(f) for f in found]
-            out = b[list(keep)].copy()
-            out["held_out"], out["score"] = b["_held"], score
-            out["predicted"] = [int(s >= threshold) for s in score]
-            out["n_matches"], out["kinds"] = [len(f) for f in found], [sorted({k for _, k in f}) for f in found]
-            yield out
-
-    source = docs.select(*keep, F.col("text").alias("_text"), held_out().alias("_held"))
-    return source.mapInPandas(run, f"{fields}, {schema}")
+            predicted = [int(s >= threshold) for s in score]
+            kinds = [sorted({k for _, k in f}) for f in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held"], "score": score, "predicted": predicted, "n_matches": [len(f) for f in found], "kinds": kinds})
+
+    source = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held"))
+    return source.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_matches int, kinds array<string>")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``; all columns stay as they are."""
+    model = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model.learned)
+        for b in batches:
+            yield b.filter(pa.array([model.score(lexicon.matches(t)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
