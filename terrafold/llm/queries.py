@@ -105,3 +105,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+
+
+@registered
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import passages
+
+    return passages(table(spark, sf_dir, "documents"))
