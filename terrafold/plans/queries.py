@@ -277,7 +277,7 @@ def round_robin_slots(spark, d):
     return tasks.round_robin(view(spark, d, "task_events").select("event_id"), "event_id", 8, 3, 2).withColumn("slot", F.col("slot").cast("long"))
 
 
-@query(r"""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN contains(event_type, 'error') THEN 'error' ELSE 'info' END AS level FROM events""")
+@query(r"""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN contains(event_type, 'ERROR') THEN 'error' ELSE 'info' END AS level FROM events""")
 def event_payloads(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), N.log_level(F.col("event_type")).alias("level"))
