@@ -143,6 +143,13 @@ def beginnings(text: str | None, least: int = 3, most: int = 10) -> set[str]:
     return {*seen, *(f"2{u}" for u, n in seen.items() if n > 1)}
 
 
+def least_hashes(text: str | None, default: str) -> list[int]:
+    """Two min-hashes of a text's runs of three words; near copies mostly share one."""
+    w = WORD.findall((text or "").lower())
+    runs = {" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else {default}
+    return [min(zlib.crc32(f"{k}{r}".encode()) for r in runs) for k in "ab"]
+
+
 def twins(keys: list[tuple[int, int]]) -> list[int]:
     """Group numbers of rows that share either key: near copies count as one witness."""
     parent = list(range(len(keys)))
@@ -252,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     def of_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             units = [beginnings(t) for t in b["text"]]
-            keys = [[min((zlib.crc32(f"{k}{u}".encode()) for u in us if u[-1] == "$" and u[0] != "2"), default=zlib.crc32(str(d).encode())) for k in "ab"] for d, us in zip(b["doc_id"], units, strict=True)]
+            keys = [least_hashes(t, str(d)) for d, t in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "keys": keys, "units": [sorted(u) for u in units]})
 
     toxic = written(sample.where("toxic = 1").mapInPandas(of_toxic, "doc_id long, keys array<long>, units array<string>"), "toxic")
