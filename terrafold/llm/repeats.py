@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, written
+from .shingles import mix
 from .suffixes import WIDTH, anchored, repeated_windows, stretches
 
 FILTER = 1 << 24
 GROUP = 400_000  # bytes of distinct pieces in one suffix array
 HOT = 4096  # pieces of one anchor in a bucket, about
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 
 
 def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -61,18 +62,42 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _pieces(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(key, doc, base, anchor, piece): the bytes around each anchor that may be repeated; ``base`` is their place in the document."""
+def _pieces(docs: DataFrame, wanted: np.ndarray, hot: np.ndarray, buckets: np.ndarray) -> DataFrame:
+    """(key, salt, salts, doc, base, anchor, piece): the bytes around each anchor that may be repeated, at ``base`` in the document.
+
+    Anchors of very many pieces (in slot ``hot[k]``) are dealt over ``buckets[k]`` buckets. Of a piece that a task
+    meets again and again, as in periodic text, the first two go on; of the others all is known to be repeated,
+    so only their places do (with no piece, and their length as the anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[bytes, int] = {}
         for b in batches:
             rows: list[tuple] = []
             size = 0
             for d, t, h, p, s, e, base in _runs(b):
+                begin = end = -1  # of the stretch known to be repeated
                 slot = (h >> np.uint64(40)).astype(np.int64)
+                at = np.minimum(np.searchsorted(hot, slot), max(0, len(hot) - 1))
+                salts = np.where(hot[at] == slot, buckets[at], 1) if len(hot) else np.ones(len(slot), np.int64)
+                deal = mix(np.full(len(h), d, np.int64).view(np.uint64) + s.astype(np.uint64)) % salts.astype(np.uint64)
                 for k in np.flatnonzero(wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist():
-                    rows.append((int(h[k].view(np.int64)), d, base + int(s[k]), int(p[k] - s[k]), t[s[k] : e[k] + WIDTH]))
-                    size += e[k] + WIDTH - s[k]
+                    first, last = int(s[k]), int(e[k]) + WIDTH
+                    piece = t[first:last]
+                    digest = hashlib.blake2b(piece, digest_size=16).digest()
+                    n = times[digest] = times.get(digest, 0) + 1
+                    if n <= 2:
+                        rows.append((int(h[k].view(np.int64)), int(deal[k]), int(salts[k]), d, base + first, int(p[k]) - first, piece))
+                        size += last - first
+                    elif first <= end:
+                        end = last
+                    else:
+                        if end > 0:
+                            rows.append((d, -1, 1, d, base + begin, end - begin, None))
+                        begin, end = first, last
+                if end > 0:
+                    rows.append((d, -1, 1, d, base + begin, end - begin, None))
+                if len(times) > 500_000:
+                    times.clear()
                 if size > 8_000_000:
                     yield _table(rows)
                     rows, size = [], 0
@@ -80,10 +105,10 @@ def _pieces(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 yield _table(rows)
 
     def _table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc", "base", "anchor", "piece"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "salt", "salts", "doc", "base", "anchor", "piece"])
 
-    return docs.mapInArrow(run, "key long, doc long, base long, anchor int, piece binary")
+    return docs.mapInArrow(run, "key long, salt int, salts int, doc long, base long, anchor int, piece binary")
 
 
 def _covered(pieces: DataFrame) -> DataFrame:
@@ -110,16 +135,26 @@ def _covered(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
 
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            made = list(group(rows))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+            found = list(group(rows))
+            if found:
+                yield made(found)
 
+        known: list[tuple] = []
         held: list[tuple] = []  # pieces of whole buckets
         mine: list[tuple] = []  # of the bucket being read
         size, key = 0, None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[6] is None:
+                    known.append((r[3], r[4], r[4] + r[5], None))
+                    if len(known) > 100_000:
+                        yield made(known)
+                        known = []
+                    continue
                 if r[:2] != key:
                     if len(mine) > 1 or (mine and mine[0][4]):  # a piece alone matches nothing, unless its anchor has other buckets
                         held += mine
@@ -133,9 +168,10 @@ def _covered(pieces: DataFrame) -> DataFrame:
             held += mine
         if held:
             yield from out(held)
+        if known:
+            yield made(known)
 
-    dealt = pieces.select("key", "salt", "salts", "doc", "base", "anchor", "piece")
-    dealt = dealt.repartition(partitions(pieces.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+    dealt = pieces.repartition(partitions(pieces.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
     return dealt.mapInArrow(run, "doc long, start long, end long, digest binary")
 
 
@@ -151,11 +187,9 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     twice = written(_keys(texts), "anchors")
     wanted = np.zeros(FILTER, bool)  # keeps most anchors that stand alone from being shuffled; at most FILTER numbers come here
     wanted[twice.select(F.shiftrightunsigned("key", 40).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
-    pieces = _pieces(texts, np.packbits(wanted))
-    # an anchor of very many pieces is dealt over several buckets
-    hot = twice.where(F.col("n") > 2 * HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    pieces = pieces.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "base"), F.col("salts")).cast("int"))
+    slot = F.shiftrightunsigned("key", 40).cast("int").alias("slot")
+    hot = twice.where(F.col("n") > 2 * HOT).groupBy(slot).agg(F.ceil(F.max("n") / HOT).alias("salts")).orderBy("slot").toArrow()  # at most FILTER rows
+    pieces = _pieces(texts, np.packbits(wanted), hot["slot"].to_numpy().astype(np.int64), hot["salts"].to_numpy().astype(np.int64))
     found = written(_covered(pieces), "covered")
     open_ = found.where("digest is not null")
     shared = open_.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
