@@ -2,9 +2,9 @@
 
 Equal sets are one class. A class puts its rarest shingles (as many as a partner must share one of) into
 tiles; a tile holds classes that share a shingle, in order of set size. Each tile first proposes few pairs
-(its middle class with each, and neighbours); what these link needs no more pairs. Then tiles propose every
-pair of sizes that may match between parts not yet linked. Pairs pass a bound from hashed bitmaps before
-their sorted sets are intersected."""
+(its middle class with each, and neighbours), then neighbours that are still apart; what these link needs no
+more pairs. Then tiles propose every pair between parts not yet linked that may match by size, place and
+bitmap. Pairs pass a bound from hashed bitmaps before their sorted sets are intersected."""
 
 from __future__ import annotations
 
@@ -165,41 +165,77 @@ def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
     return tiled.select("cls", "n").mapInArrow(run, _PAIR).where("a != b").distinct()
 
 
-def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size and position.
+def _mixed(tiled: DataFrame, parts: DataFrame) -> DataFrame:
+    """(tok, part, cls, n, pos, comp) of the tiles whose shingle has classes of more than one part.
 
     parts: (cls, comp) of the classes linked so far; a class without a row is its own part."""
     flat = tiled.select("tok", "part", F.explode(F.arrays_zip("cls", "n", "pos")).alias("x")).select("tok", "part", "x.*")
     flat = flat.join(parts, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    lists = [F.col("xs")[k].alias(k) for k in ("cls", "n", "pos", "comp")]
-    told = flat.groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "pos", "comp"))).alias("xs"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    told = told.select("tok", "part", "low", "high", "least", "most", *lists)
-    one = told.where("low != high").select(*(F.col(k).alias(k) for k in ("cls", "n", "pos", "comp")), *(F.col(k).alias(f"{k}2") for k in ("cls", "n", "pos", "comp")), F.lit(True).alias("same"))
+    more = flat.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("tok")
+    return flat.join(more, "tok")
+
+
+_LISTS = ("cls", "n", "pos", "comp", "bits")
+
+
+def next_pairs(tiled: DataFrame, parts: DataFrame, percent: int, each: int = 2) -> DataFrame:
+    """Each class with the next ``each`` ones of its tile, by size, that are in other parts."""
+    lists = _mixed(tiled, parts).groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "comp"))).alias("xs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for cls, n, comp in zip(*batch.columns, strict=True):
+                c, m, k = (x.values.to_numpy() for x in (cls, n, comp))
+                m = m.astype(np.int64)
+                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                after = np.append(start[1:], len(k))[np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))]  # where another part begins
+                for step in range(each):
+                    at = after + step
+                    i = np.flatnonzero(at < len(k))
+                    i = i[(k[at[i]] != k[i]) & (m[at[i]] * percent <= m[i] * 100)]
+                    a.append(c[i])
+                    b.append(c[at[i]])
+            yield from _batch(a, b)
+
+    return lists.select(*(F.col("xs")[k].alias(k) for k in ("cls", "n", "comp"))).mapInArrow(run, _PAIR).where("a != b").distinct()
+
+
+def rest_pairs(tiled: DataFrame, parts: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
+
+    bits: (cls, bits) of every class that has shared a tile with one of a size that may match."""
+    flat = _mixed(tiled, parts).join(bits, "cls")
+    told = flat.groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "pos", "comp", "bits"))).alias("xs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    told = told.select("tok", "part", "least", "most", *(F.col("xs")[k].alias(k) for k in _LISTS))
+    one = told.select(*_LISTS, *(F.col(k).alias(f"{k}2") for k in _LISTS), F.lit(True).alias("same"))
     many = tiled.where("part > 0").select("tok").distinct()
     split = told.join(many, "tok", "left_semi")
-    other = split.select("tok", *(F.col(k).alias(f"{k}2") for k in ("part", "low", "high", "least", "most", "cls", "n", "pos", "comp")))
-    near = (F.col("part") < F.col("part2")) & (F.col("most2") * percent <= F.col("most") * 100 * 100 / percent) & (F.col("least2") * percent <= F.col("most") * 100)
-    apart = ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
-    two = split.join(other, "tok").where(near & apart).select(*one.columns[:-1], F.lit(False).alias("same"))
+    other = split.select("tok", *(F.col(k).alias(f"{k}2") for k in ("part", "least", "most", *_LISTS)))
+    near = (F.col("part") < F.col("part2")) & (F.col("least") * percent <= F.col("most2") * 100) & (F.col("least2") * percent <= F.col("most") * 100)
+    two = split.join(other, "tok").where(near).select(*one.columns[:-1], F.lit(False).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, held = [], [], 0
             for i in range(batch.num_rows):
-                c, n, pos, comp, c2, n2, pos2, comp2 = (batch.column(k)[i].values.to_numpy().astype(np.int64) for k in range(8))
-                same = batch.column(8)[i].as_py()
+                c, n, pos, comp, x, c2, n2, pos2, comp2, y = (batch.column(k)[i].values for k in range(10))
+                c, n, pos, comp, c2, n2, pos2, comp2 = (v.to_numpy().astype(np.int64) for v in (c, n, pos, comp, c2, n2, pos2, comp2))
+                x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (x, y))
+                same = batch.column(10)[i].as_py()
                 for j in range(len(c)):
                     lo = j + 1 if same else int(np.searchsorted(n2, _needed(n[j], percent)))
                     hi = int(np.searchsorted(n2, n[j] * 100 // percent, side="right"))
                     if lo >= hi:
                         continue
-                    m, p = n2[lo:hi], pos2[lo:hi]
-                    most = 1 + np.minimum(n[j] - pos[j] - 1, m - p - 1)
-                    ok = (comp2[lo:hi] != comp[j]) & (most * (100 + percent) >= percent * (n[j] + m))
-                    if ok.any():
+                    m = n2[lo:hi]
+                    most = 1 + np.minimum(n[j] - pos[j] - 1, m - pos2[lo:hi] - 1)
+                    ok = np.flatnonzero((comp2[lo:hi] != comp[j]) & (most * (100 + percent) >= percent * (n[j] + m)))
+                    if len(ok):
+                        ok = ok[_bound(x[j], y[lo:hi][ok], n[j], m[ok]) * (100 + percent) >= percent * (n[j] + m[ok])]
                         b.append(c2[lo:hi][ok])
-                        a.append(np.full(len(b[-1]), c[j]))
-                        held += len(b[-1])
+                        a.append(np.full(len(ok), c[j]))
+                        held += len(ok)
                         if held > 500_000:
                             yield from _batch(a, b)
                             a, b, held = [], [], 0
@@ -208,6 +244,11 @@ def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(two).mapInArrow(run, _PAIR).where("a != b").distinct()
 
 
+def _bound(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
+    """Most shingles that sets of n and m with these bitmaps can share: each bit of one only is a shingle of one only."""
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1), m - np.bitwise_count(y & ~x).sum(axis=-1))
+
+
 def bitmap(s: np.ndarray) -> bytes:
     out = np.zeros(BITS // 8, np.uint8)
     bit = (s & np.uint64(BITS - 1)).astype(np.int64)
@@ -215,8 +256,8 @@ def bitmap(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, filter_slots: int = 1 << 22) -> DataFrame:
-    """The pairs (a, b: classes) whose sets match, as (src, dst): the smallest doc_id of either class.
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, filter_slots: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b: classes) whose sets match, as (src, dst): the smallest doc_id of either class; and (cls, bits) of all in pairs.
 
     The sets of the documents that stand for a class of a pair are made again from their texts. A table of
     ``filter_slots`` bits keeps most other documents from being shuffled; it only saves work."""
@@ -246,8 +287,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, f
                 continue
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
             n, m = b.column(6).to_numpy(), b.column(7).to_numpy()
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
-            ok = most * (100 + percent) >= percent * (n + m)
+            ok = _bound(x, y, n, m) * (100 + percent) >= percent * (n + m)
             yield b.filter(pa.array(ok)).select(["a", "src", "b", "dst"])
 
     small = sets.select("doc", "cls", "bits", (F.length("items") / 8).cast("long").alias("n"))
@@ -271,7 +311,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, f
     items = sets.select("doc", "cls", "items")
     left = items.select(F.col("doc").alias("src"), F.col("cls").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("doc").alias("dst"), F.col("cls").alias("b"), F.col("items").alias("y"))
-    return may.join(left, ["src", "a"]).join(right, ["dst", "b"]).select("src", "dst", "x", "y").mapInArrow(match, "src long, dst long")
+    links = may.join(left, ["src", "a"]).join(right, ["dst", "b"]).select("src", "dst", "x", "y").mapInArrow(match, "src long, dst long")
+    return written(links, "links"), sets.join(reps, (F.col("doc") == F.col("rep")) & (sets["cls"] == reps["cls"])).select(sets["cls"], "bits")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -290,14 +331,15 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     rare = np.floor(4 * np.log2(1 + rare)).astype(np.uint8)
     reps = written(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
     tiled = written(tiles(docs, rare, percent), "tiles")
-    links = written(verified(few_pairs(tiled, percent), docs, reps, percent), "links")
-    found = components(links)
-    parts = reps.join(found, reps["rep"] == found["node"]).select("cls", F.xxhash64("component").alias("comp"))
-    more = written(verified(rest_pairs(tiled, parts, percent), docs, reps, percent), "links")
+    links, bits = verified(few_pairs(tiled, percent), docs, reps, percent)
+    for propose in (lambda parts: next_pairs(tiled, parts, percent), lambda parts: rest_pairs(tiled, parts, written(bits, "bits"), percent)):
+        found = components(links)
+        parts = reps.join(found, reps["rep"] == found["node"]).select("cls", F.xxhash64("component").alias("comp"))
+        links = links.union(verified(propose(parts), docs, reps, percent)[0])
     shared = members.where("cls is not null and doc_id is not null").join(reps, "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     repeated = members.groupBy("doc_id").count().where("count > 1").select("doc_id")
     tied = shared.join(F.broadcast(repeated), F.col("src") == F.col("doc_id"), "left_semi") if repeated.limit(1).count() else spark.createDataFrame([], "src long, dst long")
-    found = components(links.union(more).union(tied))
+    found = components(links.union(tied))
     out = members.join(reps, "cls", "left").withColumn("own", F.coalesce("rep", "doc_id"))
     out = out.join(found, F.col("own") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "own")).alias("component_id"))
