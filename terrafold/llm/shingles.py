@@ -20,7 +20,7 @@ _power: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64."""
     if not _power or len(_power[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         inverse = pow(BASE, -1, 2**64)
         _power[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(b))])) for b in (BASE, inverse)]
     return _power[0], _power[1]
@@ -77,7 +77,7 @@ def each(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.
     at = 0
     while at < len(ends):
         base = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, base + 2_000_000, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, base + 500_000, side="right")))
         with np.errstate(over="ignore"):
             yield from enumerate(shingle_sets(texts.slice(at, end - at).to_pylist()), at)
         at = end
