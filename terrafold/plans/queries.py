@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import geometry as G
 from terrafold.functions import names as N
 from terrafold.functions import numbers as M
-from terrafold.operators import manifest, raster, scenes, spatial, tasks
+from terrafold.operators import manifest, raster, scenes, spatial, tables, tasks
 from terrafold.plans.fixtures import using, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +308,79 @@ def pyramid_factors(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     f = M.overview_factors(F.col("p_size") * 300, F.col("p_size") * 100)
     return p.select("p_partkey", F.array_join(f.cast("array<string>"), ",").alias("factors"), M.power_of_two(F.col("p_size")).alias("power"))
+
+
+@query("""SELECT k AS parcel_id, CASE WHEN n.v IS NOT NULL THEN n.v ELSE o.v END AS v, CASE WHEN n.v IS NOT NULL THEN n.s ELSE o.s END AS s FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0) x
+LEFT JOIN (SELECT p_partkey, p_brand AS v, 1 AS s FROM part WHERE p_partkey % 3 <> 0) o ON o.p_partkey = k LEFT JOIN (SELECT p_partkey, p_type AS v, 1 + p_partkey % 5 AS s FROM part WHERE p_partkey % 2 = 0) n ON n.p_partkey = k""")
+def upserted_rows(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    old = p.where("p_partkey % 3 != 0").selectExpr("p_partkey AS parcel_id", "p_brand AS v", "1L AS s")
+    new = p.where("p_partkey % 2 = 0").selectExpr("p_partkey AS parcel_id", "p_type AS v", "1 + p_partkey % 5 AS s")
+    return tables.upserted(old, new, "parcel_id", "s")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+def unfinished_jobs(spark, d):
+    done = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tables.without(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query("SELECT c_mktsegment AS name, min(c_custkey) AS place FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_acctbal > 9000 AND c_nationkey < 3) GROUP BY 1")
+def available_in_order(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").withColumnRenamed("c_mktsegment", "name")
+    return tables.wanted_in_order(c.select("name", F.col("c_custkey").alias("place")), c.where("c_acctbal > 9000 and c_nationkey < 3"), "name", "place")
+
+
+@query("""SELECT f.name, f.code, r.county_name, CASE WHEN f.code IS NULL THEN 'invalid' WHEN r.county_name IS NULL THEN 'unknown' ELSE 'matched' END AS status FROM (SELECT name, CASE WHEN k % 10 <> 0 THEN substr(name, 1, 6) END AS code FROM
+(SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE '' END || CAST(150101 + 100 * (p_partkey % 7) + p_partkey % 6 AS VARCHAR) || '_a.tif' AS name FROM part)) f LEFT JOIN regions r ON r.county_code = f.code""", "regions")
+def files_by_code(spark, d):
+    n = F.concat(F.when(F.col("p_partkey") % 10 == 0, "x").otherwise(""), (150101 + 100 * (F.col("p_partkey") % 7) + F.col("p_partkey") % 6).cast("string"), F.lit("_a.tif"))
+    return tables.by_code(spark.read.parquet(f"{d}/part.parquet").select(n.alias("name")), view(spark, d, "regions").select("county_code", "county_name")).select("name", "code", "county_name", "status")
+
+
+@query("""SELECT w.wanted, arg_min(r.county_code, (CASE WHEN r.county_name = w.wanted THEN '0' ELSE '1' END) || r.county_code) AS county_code, arg_min(r.county_name, (CASE WHEN r.county_name = w.wanted THEN '0' ELSE '1' END) || r.county_code) AS county_name
+FROM (SELECT DISTINCT substr(n_name, 1 + n_nationkey % 3, 4 + n_nationkey % 6) AS wanted FROM nation UNION SELECT 'nowhere') w LEFT JOIN regions r ON contains(r.county_name, w.wanted) GROUP BY 1""", "regions")
+def named_regions(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    wanted = n.selectExpr("substr(n_name, 1 + n_nationkey % 3, 4 + n_nationkey % 6) AS wanted").union(spark.sql("SELECT 'nowhere'")).distinct()
+    return tables.best_name(wanted, view(spark, d, "regions"))
+
+
+@query("""SELECT p_partkey, p_size, last_value(v IGNORE NULLS) OVER (PARTITION BY p_size ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS v FROM part)""")
+def merged_cells(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("v"))
+    return tables.filled_down(p, "v", "p_size", "p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def newest_tasks(spark, d):
+    return tables.newest(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 500)
+
+
+@query("""SELECT o_custkey, array_to_string(list_sort(list_filter(['F', 'O', 'P'], lambda s: NOT list_contains(h, s))), ',') AS missing, len(list_filter(['F', 'O', 'P'], lambda s: NOT list_contains(h, s))) = 0 AS complete FROM (SELECT o_custkey, list(DISTINCT o_orderstatus) AS h FROM orders GROUP BY 1)""")
+def complete_groups(spark, d):
+    return tables.complete(spark.read.parquet(f"{d}/orders.parquet"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
+
+
+@query(f"""SELECT CASE WHEN sa >= sb THEN b ELSE a END AS parcel_id, sum(area) AS lost_m2, count(*) AS overlaps FROM (SELECT p.parcel_id AS a, r.parcel_id AS b, {_SHARE} AS area, (p.maxx - p.minx) * (p.maxy - p.miny) AS sa, (r.maxx - r.minx) * (r.maxy - r.miny) AS sb
+FROM fields p JOIN fields r ON p.parcel_id < r.parcel_id AND {_MEET} WHERE {_SHARE} >= 60) GROUP BY 1""", "fields")
+def topology_losses(spark, d):
+    f = view(spark, d, "fields")
+    return tables.kept_by_largest(f, spatial.overlaps(f, "parcel_id", 50.0, 60.0))
+
+
+@query(f"""SELECT c.city_code, format('{{:.6f}}', coalesce(sum(a), 0) * 0.0015) AS area_mu, format('{{:.4f}}', coalesce(sum(a), 0)) AS area_m2, count(a) AS files, CAST(coalesce(sum(h), 0) AS BIGINT) AS hits FROM cities c
+LEFT JOIN (SELECT r.city_code, p.source_file, sum({_SHARE}) AS a, count(*) AS h FROM parcels p JOIN cities r ON {_MEET} GROUP BY ALL) s ON s.city_code = c.city_code GROUP BY c.city_code""", "cities", "parcels")
+def city_summary_lines(spark, d):
+    return tables.summary_lines(city_totals(spark, d))
+
+
+@query("""SELECT raster_id, row, col, max(value) FILTER (band = 1) AS "1", max(value) FILTER (band = 2) AS "2" FROM (SELECT raster_id, row, col, 1 + col % 2 AS band, value FROM pixels) GROUP BY 1, 2, 3""", "pixels")
+def stacked_bands(spark, d):
+    return tables.stacked(view(spark, d, "pixels").withColumn("band", 1 + F.col("col") % 2), [1, 2])
+
+
+@query("SELECT task_id, status, created_at FROM (SELECT user_id AS task_id, CASE WHEN user_id % 3 = 0 THEN 'running' ELSE 'completed' END AS status, max(ts) AS created_at FROM events GROUP BY 1) WHERE status = 'running' OR task_id IN (SELECT task_id FROM (SELECT user_id AS task_id, max(ts) AS m FROM events WHERE user_id % 3 <> 0 GROUP BY 1) ORDER BY m DESC, task_id DESC LIMIT greatest(0, 70 - (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 3 = 0)))")
+def kept_tasks(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("task_id")).agg(F.max("ts").alias("created_at"))
+    return tasks.evicted(e.select("task_id", F.when(F.col("task_id") % 3 == 0, "running").otherwise("completed").alias("status"), "created_at"), 70)
