@@ -2,7 +2,7 @@
 
 Equal sets are one class. A class puts its rarest shingles (as many as a partner must share one of) into
 tiles; a tile holds classes that share a shingle, in order of set size. Each tile first proposes few pairs
-(its middle class with each, and neighbours), then neighbours that are still apart; what these link needs no
+(the class of least hash with each other), then neighbours that are still apart; what these link needs no
 more pairs. Then tiles propose every pair between parts not yet linked that may match by size, place and
 bitmap. Pairs pass a bound from hashed bitmaps before their sorted sets are intersected."""
 
@@ -35,24 +35,25 @@ def _class(s: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, slot, times): a row for each document, and rows of how often shingles fall in each slot of a fixed table."""
+    """(doc_id, n, cls, bits, slot, times): a row for each document with the bitmap of its set, and rows of how often shingles fall in each slot of a fixed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("slot", pa.int32()), ("times", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("slot", pa.int32()), ("times", pa.int64())])
         for b in batches:
-            n, cls = [], []
+            n, cls, bits = [], [], []
             for _, s in each(b):
                 n.append(len(s))
+                bits.append(bitmap(s))
                 cls.append(_class(s) if len(s) else None)
                 np.add.at(slots, (s >> np.uint64(46)).astype(np.int64), 1)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
         some = np.flatnonzero(slots)
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some.astype(np.int32)), pa.array(slots[some])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(slots[some])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, slot int, times long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, bits binary, slot int, times long")
 
 
 def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
@@ -142,27 +143,24 @@ def _batch(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]
 
 
 def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
-    """In each tile, runs of sizes that may match: the middle class with each other one, and neighbours."""
+    """In each tile, the class of least hash with every other one of a size that may match.
+
+    Tiles of one group of near copies mostly choose the same class, so that the pairs stay few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for cls, n in zip(batch.column(0), batch.column(1), strict=True):
+            for cls, n in zip(*batch.columns, strict=True):
                 c, m = cls.values.to_numpy(), n.values.to_numpy().astype(np.int64)
-                at = 0
-                while at < len(c):
-                    end = int(np.searchsorted(m, m[at] * 100 // percent, side="right"))
-                    if end - at > 1:
-                        hub = c[(at + end) // 2]
-                        a += [np.full(end - at, hub), c[at : end - 1]]
-                        b += [c[at:end], c[at + 1 : end]]
-                    if 0 < at and m[at - 1] * 100 >= percent * m[at]:
-                        a.append(c[at - 1 : at])
-                        b.append(c[at : at + 1])
-                    at = end
+                with np.errstate(over="ignore"):
+                    hub = int(np.argmin(mix(c.view(np.uint64))))
+                near = (m * 100 >= percent * m[hub]) & (m[hub] * 100 >= percent * m)
+                near[hub] = False
+                b.append(c[near])
+                a.append(np.full(len(b[-1]), c[hub]))
             yield from _batch(a, b)
 
-    return tiled.select("cls", "n").mapInArrow(run, _PAIR).where("a != b").distinct()
+    return tiled.select("cls", "n").mapInArrow(run, _PAIR).distinct()
 
 
 def _mixed(tiled: DataFrame, parts: DataFrame) -> DataFrame:
@@ -204,7 +202,7 @@ def next_pairs(tiled: DataFrame, parts: DataFrame, percent: int, each: int = 2)
 def rest_pairs(tiled: DataFrame, parts: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
 
-    bits: (cls, bits) of every class that has shared a tile with one of a size that may match."""
+    bits: (cls, bits) of every class."""
     flat = _mixed(tiled, parts).join(bits, "cls")
     told = flat.groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "pos", "comp", "bits"))).alias("xs"), F.min("n").alias("least"), F.max("n").alias("most"))
     told = told.select("tok", "part", "least", "most", *(F.col("xs")[k].alias(k) for k in _LISTS))
@@ -256,16 +254,25 @@ def bitmap(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, filter_slots: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b: classes) whose sets match, as (src, dst): the smallest doc_id of either class; and (cls, bits) of all in pairs.
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, repeated: bool, filter_slots: int = 1 << 22) -> DataFrame:
+    """The pairs (a, b: classes) whose sets match, as (src, dst): the smallest doc_id of either class.
+
+    reps: (cls, rep, n, bits). Of pairs that pass the bound, the sets of the documents that stand for a class are
+    made again from their texts. A table of ``filter_slots`` bits keeps most other documents from being shuffled;
+    it only saves work. ``repeated`` says that several rows may have one doc_id."""
 
-    The sets of the documents that stand for a class of a pair are made again from their texts. A table of
-    ``filter_slots`` bits keeps most other documents from being shuffled; it only saves work."""
-    pairs = written(
-        pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("a", "src", "b", "dst"), "pairs"
-    )
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
+                n, m = b.column(6).to_numpy(), b.column(7).to_numpy()
+                yield b.filter(pa.array(_bound(x, y, n, m) * (100 + percent) >= percent * (n + m))).select(["a", "src", "b", "dst"])
+
+    left, right = reps.toDF("a", "src", "na", "bits_a"), reps.toDF("b", "dst", "nb", "bits_b")
+    may = pairs.join(left, "a").join(right, "b").select("a", "src", "b", "dst", "bits_a", "bits_b", "na", "nb")
+    may = written(may.mapInArrow(bounded, "a long, src long, b long, dst long"), "pairs")
     slot = F.pmod(F.xxhash64("doc"), F.lit(filter_slots)).cast("int")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc"))
+    ends = may.select(F.explode(F.array("src", "dst")).alias("doc"))
     wanted = np.zeros(filter_slots, bool)
     wanted[ends.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most filter_slots numbers
     wanted = np.packbits(wanted)
@@ -275,26 +282,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, f
             at = b.column(2).to_numpy()
             b = b.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             sets = [s for _, s in each(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "cls", "bits", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "cls", "items"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").withColumn("slot", slot)
-    sets = source.mapInArrow(run, "doc long, cls long, bits binary, items binary").dropDuplicates(["doc", "cls"])
-    sets = written(sets, "sets")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
-            n, m = b.column(6).to_numpy(), b.column(7).to_numpy()
-            ok = _bound(x, y, n, m) * (100 + percent) >= percent * (n + m)
-            yield b.filter(pa.array(ok)).select(["a", "src", "b", "dst"])
-
-    small = sets.select("doc", "cls", "bits", (F.length("items") / 8).cast("long").alias("n"))
-    left = small.select(F.col("doc").alias("src"), F.col("cls").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("na"))
-    right = small.select(F.col("doc").alias("dst"), F.col("cls").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("nb"))
-    may = pairs.join(left, ["src", "a"]).join(right, ["dst", "b"]).select("a", "src", "b", "dst", "bits_a", "bits_b", "na", "nb")
-    may = may.mapInArrow(bounded, "a long, src long, b long, dst long")
+    items = source.mapInArrow(run, "doc long, cls long, items binary")
+    items = written(items.dropDuplicates(["doc", "cls"]) if repeated else items, "sets")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,11 +300,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, f
                     dst.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    items = sets.select("doc", "cls", "items")
     left = items.select(F.col("doc").alias("src"), F.col("cls").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("doc").alias("dst"), F.col("cls").alias("b"), F.col("items").alias("y"))
     links = may.join(left, ["src", "a"]).join(right, ["dst", "b"]).select("src", "dst", "x", "y").mapInArrow(match, "src long, dst long")
-    return written(links, "links"), sets.join(reps, (F.col("doc") == F.col("rep")) & (sets["cls"] == reps["cls"])).select(sets["cls"], "bits")
+    return written(links, "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -324,22 +315,25 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     link with nothing and get a null component_id. Other columns are ignored; an empty table gives one."""
     spark = docs.sparkSession
     first = written(classes(docs), "classes")
-    members = first.where("slot is null").select("doc_id", "n", "cls")
+    members = first.where("slot is null").select("doc_id", "n", "cls", "bits")
     rare = np.zeros(SLOTS, np.float64)
     for r in first.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).toPandas().itertuples():  # SLOTS rows at most
         rare[r.slot] = r.times
     rare = np.floor(4 * np.log2(1 + rare)).astype(np.uint8)
-    reps = written(members.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    named = members.where("cls is not null and doc_id is not null")
+    reps = written(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "reps")
+    repeated = members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    some = repeated.limit(1).count() > 0
     tiled = written(tiles(docs, rare, percent), "tiles")
-    links, bits = verified(few_pairs(tiled, percent), docs, reps, percent)
-    for propose in (lambda parts: next_pairs(tiled, parts, percent), lambda parts: rest_pairs(tiled, parts, written(bits, "bits"), percent)):
+    links = verified(few_pairs(tiled, percent), docs, reps, percent, some)
+    for propose in (next_pairs, lambda tiled, parts, percent: rest_pairs(tiled, parts, reps.select("cls", "bits"), percent)):
         found = components(links)
         parts = reps.join(found, reps["rep"] == found["node"]).select("cls", F.xxhash64("component").alias("comp"))
-        links = links.union(verified(propose(parts), docs, reps, percent)[0])
-    shared = members.where("cls is not null and doc_id is not null").join(reps, "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    repeated = members.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    tied = shared.join(F.broadcast(repeated), F.col("src") == F.col("doc_id"), "left_semi") if repeated.limit(1).count() else spark.createDataFrame([], "src long, dst long")
-    found = components(links.union(tied))
-    out = members.join(reps, "cls", "left").withColumn("own", F.coalesce("rep", "doc_id"))
+        links = links.union(verified(propose(tiled, parts, percent), docs, reps, percent, some))
+    if some:  # the other classes of a repeated id are linked with the class it stands for
+        shared = named.join(reps.select("cls", "rep"), "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+        links = links.union(shared.join(repeated, shared["src"] == repeated["doc_id"], "left_semi"))
+    found = components(links)
+    out = members.select("doc_id", "n", "cls").join(reps.select("cls", "rep"), "cls", "left").withColumn("own", F.coalesce("rep", "doc_id"))
     out = out.join(found, F.col("own") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "own")).alias("component_id"))
