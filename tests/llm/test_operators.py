@@ -79,6 +79,29 @@ def test_passages(docs, rows):
     assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in found)
 
 
+def test_passages_each_with_each(spark):
+    """A document with a smaller id that shares half of a passage does not hide that two others share all of it."""
+    from terrafold.llm.passages import passages
+
+    r = random.Random(8)
+    say = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    docs, alike = [], []
+    for k in range(0, 90, 3):
+        p = say(60)
+        q = [*p[:30], *say(1), *p[31:]]
+        docs += [(k, say(40) + p[:35] + say(40)), (k + 1, say(30) + p + say(30)), (k + 2, say(20) + q + say(50))]
+        alike.append((k + 2, k + 1))
+    docs += [(200, docs[1][1]), (201, docs[1][1])]
+    found = passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()
+    links = {(x.doc_id, x.class_doc) for x in found if x.doc_id != x.class_doc}
+    assert set(alike) <= links and {(200, 1), (201, 1)} <= links
+    words = dict(docs[:90])
+    for x in found:
+        if x.doc_id < 200:
+            a, b = ({tuple(words[i][j : j + 5]) for j in range(s, e - 4)} for i, s, e in ((x.doc_id, x.start_word, x.end_word), (x.class_doc, x.class_start, x.class_end)))
+            assert x.end_word - x.start_word >= 50 and abs(len(a & b) / len(a | b) - x.similarity) < 1e-9 and x.similarity >= 0.8
+
+
 def test_fingerprints(docs, rows):
     from terrafold.llm.fingerprints import fingerprints
 
