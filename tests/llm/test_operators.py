@@ -135,6 +135,34 @@ def test_mixing(spark, docs, rows):
     assert fit(docs, labels.limit(0)).steps is not None
 
 
+@pytest.mark.parametrize("high", [(0.85, 0.15), (0.7, 0.5), (0.5, 0.5), (0.99, 0.01)])
+def test_mixing_loses_nothing(spark, high, monkeypatch):
+    """Sharp, weak and even posteriors: 80 documents that are high and 20 that are low."""
+    from terrafold.llm import mixing
+
+    class Told(mixing.Mix):
+        def posterior(self, x):
+            p = np.where(x[:, 10] > np.log1p(45) / 10, *high)  # the text's number of words
+            return np.stack([p, 1 - p], axis=1)
+
+    monkeypatch.setattr(mixing, "classifier", lambda *a: Told(["high", "low"], *[np.zeros(1)] * 3))
+    docs = frame(spark, [(k, "w " * (50 if k % 5 else 40)) for k in range(100)])
+    got = mixing.mixture(docs, docs).collect()
+    assert len(got) == 100 and min(r.rate for r in got) >= 1 and min(r.copies for r in got) >= 1
+    assert {r.doc_id for r in mixing.mixed(docs, docs).collect()} == set(range(100))
+    share = sum(r.tokens * r.p_high * r.rate for r in got) / sum(r.tokens * r.rate for r in got)
+    before = sum(r.tokens * r.p_high for r in got) / sum(r.tokens for r in got)
+    if high == (0.5, 0.5):
+        assert {r.rate for r in got} == {1.0}
+    elif high == (0.99, 0.01):
+        assert abs(share - 0.9) < 1e-6
+    else:
+        assert before < share < high[0]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.undo()
+    assert {r.copies for r in mixing.mixture(docs, labels).collect()} == {1}
+
+
 def test_neighbours(spark):
     from terrafold.llm.neighbours import nearest
 
