@@ -246,6 +246,21 @@ def test_licenses(spark):
     assert got[0].labels == "gpl,gpl-3.0" and got[1].labels == "apache,apache-2.0" and "cc-by-nc-4.0" in got[2].labels
 
 
+def test_licenses_whole(spark):
+    """Every template that stands in a file as a whole has its label: alone, all in one file, and in every row."""
+    from terrafold.llm.licenses import TEMPLATES, scan
+
+    alone = [t for _, t, _ in TEMPLATES]
+    every = sorted({label for label, _, _ in TEMPLATES})
+    rows = list(enumerate([*alone, " x ".join(alone), " x ".join(reversed(alone))]))
+    rows += [(100 + k, "mit license cc by apache") for k in range(30)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan(frame(spark, rows)).collect()}
+    assert all(label in got[k] for k, (label, _, _) in enumerate(TEMPLATES))
+    assert set(every) <= got[len(alone)] and set(every) <= got[len(alone) + 1]
+    same = scan(frame(spark, [(k, TEMPLATES[-1][1]) for k in range(3)])).collect()
+    assert {(r.labels, r.score) for r in same} == {("isc", 1.0)}
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
