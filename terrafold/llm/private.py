@@ -1,8 +1,8 @@
 """Personal data: base patterns and information-theoretic sanitisation, with DataFrame functions only.
 
-Base spans are regular-expression matches. The corpus then says how strongly a term beside a protected
-entity (a base match) reveals it: a term that stands close to the same entity in several documents, and
-hardly anywhere else in the corpus, discloses it and becomes a span too. Sanitised texts have base spans
+Base spans are regular-expression matches. The corpus then says how strongly a term reveals a protected
+entity (a base match): a term that is in several documents with the same entity, and hardly anywhere else in
+the corpus, discloses it and becomes a span wherever it stands. Sanitised texts have base spans
 generalised to their kind and disclosing terms removed."""
 
 from __future__ import annotations
@@ -78,56 +78,61 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.when(GATE[k](text), _matches(text, PATTERN[k], k, PASSES[k])).otherwise(none) for k in KINDS))
 
 
-def _beside(text: Column, span: Column, reach: int) -> Column:
-    """array<struct<entity, term, start, end>>: whole terms within ``reach`` code points on either side of a span."""
-    out = []
-    for right in (False, True):
-        first = span["end"] if right else F.greatest(span["start"] - reach, F.lit(0))
-        last = F.least(span["end"] + reach, F.length(text)) if right else span["start"]
-        piece = F.substring(text, first + 1, last - first)
-        terms = _matches(piece, TERM, "term", lambda m: F.lit(True))
-        # a term that touches the far end may be cut, one that touches the span may be part of it
-        whole = F.filter(terms, lambda t: ((t["start"] > 0) | ((first == 0) & F.lit(not right))) & ((t["end"] < last - first) | ((last == F.length(text)) & F.lit(right))))  # noqa: B023
-        out.append(F.transform(whole, lambda t: F.struct(F.lower(span["match"]).alias("entity"), F.lower(t["match"]).alias("term"), (t["start"] + first).alias("start"), (t["end"] + first).alias("end"))))  # noqa: B023
-    return F.concat(*out)
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3), F.lower))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space in place of each span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(" "))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def spans(docs: DataFrame, reach: int = 32, least_docs: int = 2, disclosure: float = 0.5, least_bits: float = 3.0) -> DataFrame:
+def spans(docs: DataFrame, least_docs: int = 2, disclosure: float = 0.5, least_bits: float = 3.0) -> DataFrame:
     """``docs`` with base (the base spans) and added (array<struct<kind, start, end>>: disclosing terms), as a written table.
 
-    A term is added where it stands within ``reach`` of an entity, if at least ``least_docs`` rows have it so,
-    those are at least the share ``disclosure`` of the rows with the term anywhere in the corpus, and seeing
-    the term tells at least ``least_bits`` bits about the entity (pointwise mutual information). Every row
-    counts in these statistics. A null text is empty; rows are told apart by place, so rows without an id
-    and repeated rows are treated each."""
+    A term discloses an entity if at least ``least_docs`` rows have both (the term outside of base spans), those
+    are at least the share ``disclosure`` of the rows with the term anywhere in the corpus, and seeing the term
+    tells at least ``least_bits`` bits about the entity (pointwise mutual information). It is added wherever it
+    stands, in rows without the entity too. Every row counts in these statistics. A null text is empty; rows are
+    told apart by place, so rows without an id and repeated rows are treated each."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.withColumn("base", base_spans(text))
-    near = F.flatten(F.transform("base", lambda s: _beside(text, s, reach)))
-    base = base.withColumn("near", F.when(F.size("base") > 0, near)).withColumn("row_key", F.monotonically_increasing_id())
+    base = docs.withColumn("base", base_spans(text)).withColumn("row_key", F.monotonically_increasing_id())
     base = written(base, "spans")
-    some = base.where(F.size("base") > 0)
-    pairs = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = written(pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("together")).where(F.col("together") >= least_docs), "pairs")
+    some = base.where(F.size("base") > 0).select("row_key", "text", "base", F.array_distinct(F.transform("base", lambda s: F.lower(s["match"]))).alias("entities"))
+    entities = written(some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= least_docs), "entities")
+    # only entities of enough rows can be disclosed; rows without one are not taken apart
+    of_row = some.select("row_key", F.explode("entities").alias("entity")).join(entities, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("of_row"))
+    both = some.join(of_row, "row_key").select("of_row", _terms(_outside(F.col("text"), F.col("base"))).alias("terms"))
+    pairs = both.select("of_row", F.explode("terms").alias("term")).select(F.explode("of_row").alias("entity"), "term")
+    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= least_docs), "pairs")
     # how many rows have each of these terms: a fixed table of slots keeps most other terms from being shuffled
     slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
-    slots = pairs.select(slot.alias("slot")).distinct()
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= 3)
-    terms = terms.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("term").agg(F.count("*").alias("having"))
-    entities = some.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["match"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    slotted = lambda rows, of: rows.withColumn("slot", slot).join(F.broadcast(of.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    terms = slotted(base.select(F.explode(_terms(text)).alias("term")), pairs).groupBy("term").agg(F.count("*").alias("having"))
     rows = base.count()
     bits = F.log2(F.col("together") * F.lit(float(rows)) / (F.col("of_entity") * F.col("having")))
-    telling = pairs.join(terms, "term").join(entities, "entity").where((F.col("together") >= disclosure * F.col("having")) & (bits >= least_bits)).select("entity", "term")
-    at = some.select("row_key", F.explode("near").alias("x")).select("row_key", "x.*").join(telling, ["entity", "term"], "left_semi")
-    at = at.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"))
+    telling = pairs.join(terms, "term").join(entities, "entity").where((F.col("together") >= disclosure * F.col("having")) & (bits >= least_bits))
+    telling = written(telling.select("term").distinct(), "telling")
+    at = slotted(base.select("row_key", F.explode(_terms(text)).alias("term")), telling).join(telling, "term", "left_semi")
+    at = at.groupBy("row_key").agg(F.collect_list("term").alias("terms"))
+    out = base.join(at, "row_key", "left")
+    found = _matches(text, TERM, "term", lambda m: F.array_contains("terms", F.lower(m)))
     # a term may not reach into a base span
     clear = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    added = F.transform(F.filter("at", clear), lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    out = base.drop("near").join(at, "row_key", "left")
-    return out.withColumn("added", F.coalesce(added, F.array().cast("array<struct<kind:string,start:int,end:int>>"))).drop("at", "row_key")
+    added = F.transform(F.filter(found, clear), lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return out.withColumn("added", F.when(F.col("terms").isNotNull(), added).otherwise(none)).drop("terms", "row_key")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -207,6 +207,16 @@ def test_private(spark):
     assert clean[11] == " <email> said" and clean[5] == "" and clean[6] is None and clean[12] == PII[12]
 
 
+def test_private_everywhere(spark):
+    """A name far from the entity is found, and is taken out in rows without the entity too."""
+    from terrafold.llm.private import sanitised
+
+    far = " ".join(["plain words again"] * 20)
+    texts = [f"Dear Zelinda, {far} a@b.example {k} Zelinda's" for k in range(3)] + [f"{far} and ZELINDA."] + [f"{far} quite other"] * 60
+    clean = {r.doc_id: r.text for r in sanitised(frame(spark, list(enumerate(texts)))).collect()}
+    assert clean[0] == f" , {far} <email> 0 's" and clean[3] == f"{far} and ." and clean[9] == texts[9]
+
+
 def test_toxicity(spark):
     from terrafold.llm.toxicity import Lexicon, accepted, grammar, toxicity
 
