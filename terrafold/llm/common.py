@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slot_bits(keys: int) -> int:
+    """High bits that tell the slots of a filter of so many keys apart: 16 slots a key or more, and a table of 16 MB at most."""
+    return min(27, max(20, (16 * keys).bit_length()))
+
+
+def slot_filter(keys: DataFrame, high: int) -> np.ndarray:
+    """A bit for each slot of ``2**high`` in which some ``key`` falls; made in blocks on the executors, 16 MB in all.
+
+    It grows with the keys up to its bound; beyond that it only keeps less from being shuffled."""
+    slot = F.shiftrightunsigned("key", 64 - high)
+    slots = keys.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 15).cast("int").alias("block")).agg(F.collect_list(F.col("slot").bitwiseAND(F.lit(32767))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = []
+            for at in b.column(1):
+                bits = np.zeros(1 << 15, bool)
+                bits[at.values.to_numpy()] = True
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << (high - 15), 1 << 12), np.uint8)
+    for r in slots.mapInArrow(run, "block int, bits binary").collect():  # at most 4096 rows
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_slots(wanted: np.ndarray, key: np.ndarray, high: int) -> np.ndarray:
+    slot = (key >> np.uint64(64 - high)).astype(np.int64)
+    return (wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (src, dst: long), as (node, component): the smallest node reachable.
 

@@ -1,10 +1,11 @@
-"""Exact Jaccard join of word-shingle sets by size-banded tiles.
+"""Jaccard join of word-shingle sets by size-banded tiles, exact but for collisions of 64-bit hashes.
 
 Equal sets are one class. A class puts its rarest shingles (as many as a partner must share one of) into
-tiles; a tile holds classes that share a shingle, in order of set size. Each tile first proposes few pairs
-(the class of least hash with each other), then neighbours that are still apart; what these link needs no
-more pairs. Then tiles propose every pair between parts not yet linked that may match by size, place and
-bitmap. Pairs pass a bound from hashed bitmaps before their sorted sets are intersected."""
+tiles; a tile holds classes that share a shingle, in order of set size, and ends where sizes leave a gap that no
+pair can bridge. Each tile first proposes few pairs (the class of least hash with each other), then neighbours
+that are still apart; what these link needs no more pairs. Then tiles propose every pair between parts not yet
+linked that may match by size, place and bitmap. Pairs pass a second bound from bitmaps as wide as their sets
+are large before their sorted sets are intersected."""
 
 from __future__ import annotations
 
@@ -12,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, written
+from .common import components, in_slots, partitions, slot_bits, slot_filter, written
 from .shingles import K, each, mix
 
-SLOTS = 1 << 18
+RARITY_BITS = 22  # the table of how often shingles repeat has as many slots as these high bits tell apart
+HELD = 4_000_000  # shingles that a task counts at once
 BITS = 512
 TILE = 4096
+PAIRS = 1 << 18  # pairs whose bitmaps are held against each other at once
 
 
 def _needed(n, percent: int):
@@ -34,51 +38,107 @@ def _class(s: np.ndarray) -> int:
         return int(mix(np.array([a * 3 + b * 0x9E3779B97F4A7C15 + len(s) & (2**64 - 1)], np.uint64)).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def fine_bits(n: int) -> int:
+    """Bits of the wide bitmap of a set of n: a power of two, four to eight times n."""
+    return max(BITS, 1 << (4 * n - 1).bit_length())
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, bits, slot, times): a row for each document with the bitmap of its set, and rows of how often shingles fall in each slot of a fixed table."""
+    """(doc_id, n, cls, bits, fine, slot, times): a row for each document with the bitmaps of its set; and for shingles
+    that a task meets in several sets, how often, by their slot in a fixed table. A shingle of many sets is met so in
+    some task, however many there are; lone ones take no room."""
+    kinds = (("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("fine", pa.binary()), ("slot", pa.int32()), ("times", pa.int64()))
+    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(SLOTS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("slot", pa.int32()), ("times", pa.int64())])
+        done: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def repeated() -> pa.RecordBatch:
+            tok, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            tok, times = tok[times > 1], times[times > 1]
+            held.clear()
+            slot = pa.array((tok >> np.uint64(64 - RARITY_BITS)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(tok), t) for _, t in kinds[:5]), slot, pa.array(times)], schema=schema)
+
         for b in batches:
-            n, cls, bits = [], [], []
+            n, cls, bits, fine = [], [], [], []
             for _, s in each(b):
+                c = _class(s) if len(s) else None
                 n.append(len(s))
-                bits.append(bitmap(s))
-                cls.append(_class(s) if len(s) else None)
-                np.add.at(slots, (s >> np.uint64(46)).astype(np.int64), 1)
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-        some = np.flatnonzero(slots)
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(slots[some])], schema=schema)
+                cls.append(c)
+                bits.append(bitmap(s, BITS))
+                fine.append(bitmap(s, fine_bits(len(s))))
+                if c is not None and c not in done:
+                    done.add(c)
+                    held.append(s)
+                    size += len(s)
+                    if size > HELD:
+                        yield repeated()
+                        done.clear()
+                        size = 0
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(x, t) for x, (_, t) in zip((n, cls, bits, fine), kinds[1:5], strict=True)), *(pa.nulls(len(n), t) for _, t in kinds[5:])], schema=schema)
+        yield repeated()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, bits binary, fine binary, slot int, times long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, bits binary, slot int, times long")
+def _prefixes(b: pa.RecordBatch, rare: np.ndarray, percent: int, done: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, size, its rarest shingles: one of which any partner shares) of the sets not done before."""
+    for _, s in each(b, "text"):
+        if len(s) and (c := _class(s)) not in done:
+            if len(done) > 500_000:
+                done.clear()
+            done.add(c)
+            p = len(s) - _needed(len(s), percent) + 1
+            yield c, len(s), s[np.argsort(rare[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], kind="stable")[:p]]
 
 
 def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
-    """(tok, part, cls, n, pos): a row for each tile of at most TILE classes that share the shingle ``tok``, by size."""
+    """(tok, part, more, cls, n, pos): a row for each tile of at most TILE classes that share the shingle ``tok``, by size.
+
+    ``more`` says that the classes around these sizes take several tiles. Shingles that only one set puts forward
+    are kept out of the shuffle by a filter made from exact counts (it lets a few through, which do no harm)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in batches:
+            found = [f for _, _, f in _prefixes(b, rare, percent, done)]
+            if found:
+                key, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
+
+    texts = docs.select("text")
+    twice = texts.mapInArrow(keys, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    twice = written(twice.select("key"), "keys")
+    high = slot_bits(twice.count())
+    wanted = slot_filter(twice, high)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             toks, cls, ns, poss = [], [], [], []
-            for _, s in each(b):
-                if len(s) and (c := _class(s)) not in done:
-                    done.add(c)
-                    p = len(s) - _needed(len(s), percent) + 1
-                    first = s[np.argsort(rare[(s >> np.uint64(46)).astype(np.int64)], kind="stable")[:p]]
-                    toks.append(first.view(np.int64))
-                    cls.append(np.full(p, c, np.int64))
-                    ns.append(np.full(p, len(s), np.int32))
-                    poss.append(np.arange(p, dtype=np.int32))
+            for c, n, first in _prefixes(b, rare, percent, done):
+                pos = np.flatnonzero(in_slots(wanted, first, high))
+                toks.append(first[pos].view(np.int64))
+                cls.append(np.full(len(pos), c, np.int64))
+                ns.append(np.full(len(pos), n, np.int32))
+                poss.append(pos.astype(np.int32))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, cls, ns, poss)], ["tok", "cls", "n", "pos"])
 
+    schema = pa.schema([("tok", pa.int64()), ("part", pa.int32()), ("more", pa.bool_()), *((k, pa.list_(t)) for k, t in (("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())))])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("tok", pa.int64()), ("part", pa.int32()), *((k, pa.list_(t)) for k, t in (("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())))])
         held: list[np.ndarray] | None = None
-        part = 0
+        part = 0  # of the first run in what is held, if it has begun before
 
         def cut(cols: list[np.ndarray], last: bool) -> tuple[list, list[np.ndarray] | None]:
             """Tiles of the runs that have ended, and the rest."""
@@ -87,31 +147,33 @@ def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
             new = np.ones(len(tok), bool)  # rows of the same class in a run are one
             new[1:] = (tok[1:] != tok[:-1]) | (c[1:] != c[:-1])
             tok, c, n, pos = tok[new], c[new], n[new], pos[new]
-            starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            ends_here = (tok[1:] != tok[:-1]) | (n[1:].astype(np.int64) * percent > n[:-1].astype(np.int64) * 100)
+            starts = np.flatnonzero(np.concatenate([[True], ends_here]))
             ends = np.append(starts[1:], len(tok))
             ended = len(starts) if last else len(starts) - 1  # the last run may go on in the next batch
+            size = ends - starts
             out = []
-            for i in np.flatnonzero(ends[:ended] - starts[:ended] >= (1 if part else 2)).tolist():
+            for i in np.flatnonzero((size[:ended] >= 2) | ((np.arange(ended) == 0) & (part > 0))).tolist():
                 k = part if i == 0 else 0
-                if k or ends[i] - starts[i] >= 2:
-                    for a in range(starts[i], ends[i], TILE):
-                        e = min(a + TILE, ends[i])
-                        out.append((tok[a], k, c[a:e], n[a:e], pos[a:e]))
-                        k += 1
+                more = k > 0 or size[i] > TILE
+                for a in range(starts[i], ends[i], TILE):
+                    e = min(a + TILE, ends[i])
+                    out.append((tok[a], k, more, c[a:e], n[a:e], pos[a:e]))
+                    k += 1
             if ended:
                 part = 0
             if last:
                 return out, None
             a = int(starts[-1])
             while len(tok) - a > 2 * TILE:
-                out.append((tok[a], part, *(x[a : a + TILE] for x in (c, n, pos))))
+                out.append((tok[a], part, True, *(x[a : a + TILE] for x in (c, n, pos))))
                 part, a = part + 1, a + TILE
             return out, [x[a:] for x in (tok, c, n, pos)]
 
         def batch(out: list) -> pa.RecordBatch:
-            offsets = pa.array(np.cumsum([0] + [len(o[2]) for o in out]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[k] for o in out]))) for k in (2, 3, 4)]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), *lists], schema=schema)
+            offsets = pa.array(np.cumsum([0] + [len(o[3]) for o in out]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[k] for o in out]))) for k in (3, 4, 5)]
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.bool_()))] + lists, schema=schema)
 
         for b in batches:
             if not b.num_rows:
@@ -127,21 +189,27 @@ def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
             if out:
                 yield batch(out)
 
-    found = docs.select("text").mapInArrow(rows, "tok long, cls long, n int, pos int")
+    found = texts.mapInArrow(rows, "tok long, cls long, n int, pos int")
     found = found.repartition(partitions(docs.sparkSession), "tok").sortWithinPartitions("tok", "n", "cls")
-    return found.mapInArrow(gather, "tok long, part int, cls array<long>, n array<int>, pos array<int>")
+    return found.mapInArrow(gather, "tok long, part int, more boolean, cls array<long>, n array<int>, pos array<int>")
 
 
 _PAIR = "a long, b long"
 
 
-def _batch(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if a:
-        x, y = np.concatenate(a), np.concatenate(b)
+def _batch(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(x):
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
+def _lists(batch: pa.RecordBatch, columns: range) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each value's row, and the values of these list columns one after another."""
+    size = pc.list_value_length(batch.column(columns[0])).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = [batch.column(k).flatten() for k in columns]
+    return np.repeat(np.arange(len(size)), size), [np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) if pa.types.is_binary(v.type) else v.to_numpy(zero_copy_only=False).astype(np.int64) for v in values]
+
+
 def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
     """In each tile, the class of least hash with every other one of a size that may match.
 
@@ -149,95 +217,98 @@ def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for cls, n in zip(*batch.columns, strict=True):
-                c, m = cls.values.to_numpy(), n.values.to_numpy().astype(np.int64)
-                with np.errstate(over="ignore"):
-                    hub = int(np.argmin(mix(c.view(np.uint64))))
-                near = (m * 100 >= percent * m[hub]) & (m[hub] * 100 >= percent * m)
-                near[hub] = False
-                b.append(c[near])
-                a.append(np.full(len(b[-1]), c[hub]))
-            yield from _batch(a, b)
+            row, (c, m) = _lists(batch, range(2))
+            if len(c):
+                rank = mix(c.view(np.uint64))
+                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(row))))
+                at = np.flatnonzero(rank == least)  # one of each row, as its classes differ
+                hub = at[np.searchsorted(row[at], row)]
+                near = (m * 100 >= percent * m[hub]) & (m[hub] * 100 >= percent * m) & (hub != np.arange(len(c)))
+                yield from _batch(c[near], c[hub[near]])
 
     return tiled.select("cls", "n").mapInArrow(run, _PAIR).distinct()
 
 
-def _mixed(tiled: DataFrame, parts: DataFrame) -> DataFrame:
-    """(tok, part, cls, n, pos, comp) of the tiles whose shingle has classes of more than one part.
-
-    parts: (cls, comp) of the classes linked so far; a class without a row is its own part."""
-    flat = tiled.select("tok", "part", F.explode(F.arrays_zip("cls", "n", "pos")).alias("x")).select("tok", "part", "x.*")
-    flat = flat.join(parts, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    more = flat.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("tok")
-    return flat.join(more, "tok")
+def _told(tiled: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
+    """(tok, part, more, low, high, xs) of the tiles, with the part of each class.
 
-
-_LISTS = ("cls", "n", "pos", "comp", "bits")
+    parts: (cls, comp) of every class, and what else goes along."""
+    flat = tiled.select("tok", "part", "more", F.explode(F.arrays_zip("cls", "n", "pos")).alias("x")).select("tok", "part", "more", "x.*")
+    told = flat.join(parts.select("cls", "comp", *more), "cls").groupBy("tok", "part", "more")
+    told = told.agg(F.sort_array(F.collect_list(F.struct("n", "cls", "pos", "comp", *more))).alias("xs"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return told
 
 
 def next_pairs(tiled: DataFrame, parts: DataFrame, percent: int, each: int = 2) -> DataFrame:
     """Each class with the next ``each`` ones of its tile, by size, that are in other parts."""
-    lists = _mixed(tiled, parts).groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "comp"))).alias("xs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row, (c, m, k) = _lists(batch, range(3))
+            if not len(c):
+                continue
+            other = np.concatenate([(row[1:] != row[:-1]) | (k[1:] != k[:-1]), [True]])
+            edges = np.append(np.flatnonzero(other) + 1, len(c))
+            after = edges[np.searchsorted(edges, np.arange(len(c)), side="right")]  # where another part begins
             a, b = [], []
-            for cls, n, comp in zip(*batch.columns, strict=True):
-                c, m, k = (x.values.to_numpy() for x in (cls, n, comp))
-                m = m.astype(np.int64)
-                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                after = np.append(start[1:], len(k))[np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))]  # where another part begins
-                for step in range(each):
-                    at = after + step
-                    i = np.flatnonzero(at < len(k))
-                    i = i[(k[at[i]] != k[i]) & (m[at[i]] * percent <= m[i] * 100)]
-                    a.append(c[i])
-                    b.append(c[at[i]])
-            yield from _batch(a, b)
-
-    return lists.select(*(F.col("xs")[k].alias(k) for k in ("cls", "n", "comp"))).mapInArrow(run, _PAIR).where("a != b").distinct()
-
-
-def rest_pairs(tiled: DataFrame, parts: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
-
-    bits: (cls, bits) of every class."""
-    flat = _mixed(tiled, parts).join(bits, "cls")
-    told = flat.groupBy("tok", "part").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "pos", "comp", "bits"))).alias("xs"), F.min("n").alias("least"), F.max("n").alias("most"))
-    told = told.select("tok", "part", "least", "most", *(F.col("xs")[k].alias(k) for k in _LISTS))
-    one = told.select(*_LISTS, *(F.col(k).alias(f"{k}2") for k in _LISTS), F.lit(True).alias("same"))
-    many = tiled.where("part > 0").select("tok").distinct()
-    split = told.join(many, "tok", "left_semi")
-    other = split.select("tok", *(F.col(k).alias(f"{k}2") for k in ("part", "least", "most", *_LISTS)))
+            for step in range(each):
+                at = after + step
+                i = np.flatnonzero(at < len(c))
+                i = i[(row[at[i]] == row[i]) & (k[at[i]] != k[i]) & (m[at[i]] * percent <= m[i] * 100)]
+                a.append(c[i])
+                b.append(c[at[i]])
+            yield from _batch(np.concatenate(a), np.concatenate(b))
+
+    told = _told(tiled, parts).where("low != high")
+    return told.select(*(F.col("xs")[k].alias(k) for k in ("cls", "n", "comp"))).mapInArrow(run, _PAIR).distinct()
+
+
+_LISTS = ("cls", "n", "pos", "comp", "bits")
+
+
+def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap."""
+    told = _told(tiled, parts, "bits").where("more or low != high")
+    told = written(told.select("tok", "part", "more", "low", "high", *(F.col("xs")[k].alias(k) for k in _LISTS)), "told")
+    none = [F.lit(None).cast(told.schema[k].dataType).alias(f"{k}2") for k in _LISTS]
+    one = told.where("low != high").select(*_LISTS, *none)
+    split = told.where("more").withColumns({"least": F.element_at("n", 1), "most": F.element_at("n", -1)})
+    other = split.select("tok", *(F.col(k).alias(f"{k}2") for k in ("part", "least", "most", "low", "high", *_LISTS)))
     near = (F.col("part") < F.col("part2")) & (F.col("least") * percent <= F.col("most2") * 100) & (F.col("least2") * percent <= F.col("most") * 100)
-    two = split.join(other, "tok").where(near).select(*one.columns[:-1], F.lit(False).alias("same"))
+    apart = F.least("low", "low2") != F.greatest("high", "high2")
+    two = split.join(other, "tok").where(near & apart).select(*one.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, held = [], [], 0
-            for i in range(batch.num_rows):
-                c, n, pos, comp, x, c2, n2, pos2, comp2, y = (batch.column(k)[i].values for k in range(10))
-                c, n, pos, comp, c2, n2, pos2, comp2 = (v.to_numpy().astype(np.int64) for v in (c, n, pos, comp, c2, n2, pos2, comp2))
-                x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (x, y))
-                same = batch.column(10)[i].as_py()
-                for j in range(len(c)):
-                    lo = j + 1 if same else int(np.searchsorted(n2, _needed(n[j], percent)))
-                    hi = int(np.searchsorted(n2, n[j] * 100 // percent, side="right"))
-                    if lo >= hi:
-                        continue
-                    m = n2[lo:hi]
-                    most = 1 + np.minimum(n[j] - pos[j] - 1, m - pos2[lo:hi] - 1)
-                    ok = np.flatnonzero((comp2[lo:hi] != comp[j]) & (most * (100 + percent) >= percent * (n[j] + m)))
-                    if len(ok):
-                        ok = ok[_bound(x[j], y[lo:hi][ok], n[j], m[ok]) * (100 + percent) >= percent * (n[j] + m[ok])]
-                        b.append(c2[lo:hi][ok])
-                        a.append(np.full(len(ok), c[j]))
-                        held += len(ok)
-                        if held > 500_000:
-                            yield from _batch(a, b)
-                            a, b, held = [], [], 0
-            yield from _batch(a, b)
+            for same in (True, False):
+                part = batch.filter(pc.equal(pc.is_null(batch.column(5)), same))
+                if part.num_rows:
+                    row, mine = _lists(part, range(5))
+                    yield from met(row, mine, *((row, mine) if same else _lists(part, range(5, 10))), same)
+
+    def met(row: np.ndarray, mine: list, row2: np.ndarray, theirs: list, same: bool) -> Iterator[pa.RecordBatch]:
+        c, n, pos, comp, x = mine
+        c2, n2, pos2, comp2, y = theirs
+        key = row2 << 32 | n2  # rows are in order of size
+        hi = np.searchsorted(key, row << 32 | n * 100 // percent, side="right")
+        lo = np.arange(len(c)) + 1 if same else np.searchsorted(key, row << 32 | _needed(n, percent))
+        count = np.maximum(hi - lo, 0)
+        upto = np.cumsum(count)
+        at = 0
+        while at < len(c):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            k = count[at:end]
+            i = np.repeat(np.arange(at, end), k)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at:end], k)
+            ok = comp[i] != comp2[j]
+            i, j = i[ok], j[ok]
+            most = 1 + np.minimum(n[i] - pos[i] - 1, n2[j] - pos2[j] - 1)
+            ok = most * (100 + percent) >= percent * (n[i] + n2[j])
+            i, j = i[ok], j[ok]
+            ok = _bound(x[i], y[j], n[i], n2[j]) * (100 + percent) >= percent * (n[i] + n2[j])
+            yield from _batch(c[i[ok]], c2[j[ok]])
+            at = end
 
     return one.unionByName(two).mapInArrow(run, _PAIR).where("a != b").distinct()
 
@@ -247,52 +318,71 @@ def _bound(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
     return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1), m - np.bitwise_count(y & ~x).sum(axis=-1))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    out = np.zeros(BITS // 8, np.uint8)
-    bit = (s & np.uint64(BITS - 1)).astype(np.int64)
-    np.bitwise_or.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    return out.tobytes()
+def _fine_bound(x: bytes, y: bytes, n: int, m: int) -> int:
+    """The same from bitmaps as wide as their sets ask for: the wider one is folded to the other's width."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    if len(a) != len(b):
+        w = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(v.reshape(-1, w), axis=0) for v in (a, b))
+    return int(_bound(a, b, n, m))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, repeated: bool, filter_slots: int = 1 << 22) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """The pairs (a, b: classes) whose sets match, as (src, dst): the smallest doc_id of either class.
 
-    reps: (cls, rep, n, bits). Of pairs that pass the bound, the sets of the documents that stand for a class are
-    made again from their texts. A table of ``filter_slots`` bits keeps most other documents from being shuffled;
-    it only saves work. ``repeated`` says that several rows may have one doc_id."""
+    reps: (cls, rep, n, bits, fine). Pairs pass the bounds of both bitmaps; then the texts of the documents that
+    stand for the classes meet and their sets are intersected. Filters keep most other bitmaps and texts from being
+    shuffled; they only save work. ``repeated`` says that several rows may have one doc_id."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
-                n, m = b.column(6).to_numpy(), b.column(7).to_numpy()
-                yield b.filter(pa.array(_bound(x, y, n, m) * (100 + percent) >= percent * (n + m))).select(["a", "src", "b", "dst"])
-
-    left, right = reps.toDF("a", "src", "na", "bits_a"), reps.toDF("b", "dst", "nb", "bits_b")
-    may = pairs.join(left, "a").join(right, "b").select("a", "src", "b", "dst", "bits_a", "bits_b", "na", "nb")
-    may = written(may.mapInArrow(bounded, "a long, src long, b long, dst long"), "pairs")
-    slot = F.pmod(F.xxhash64("doc"), F.lit(filter_slots)).cast("int")
-    ends = may.select(F.explode(F.array("src", "dst")).alias("doc"))
-    wanted = np.zeros(filter_slots, bool)
-    wanted[ends.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most filter_slots numbers
-    wanted = np.packbits(wanted)
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (2, 3))
+                n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
+                yield b.filter(pa.array(_bound(x, y, n, m) * (100 + percent) >= percent * (n + m))).select(["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(2).to_numpy()
-            b = b.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-            sets = [s for _, s in each(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "cls", "items"])
+    left, right = (reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    may = pairs.join(left, "a").join(right, "b").select("a", "b", "bitsa", "bitsb", "na", "nb")
+    may = written(may.mapInArrow(bounded, _PAIR), "pairs")
+
+    def wanted_rows(source: DataFrame, wanted: np.ndarray, high: int) -> DataFrame:
+        """The rows whose first column, hashed in the last one, may be wanted."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(in_slots(wanted, b.column(b.num_columns - 1).to_numpy().view(np.uint64), high)))
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").withColumn("slot", slot)
-    items = source.mapInArrow(run, "doc long, cls long, items binary")
-    items = written(items.dropDuplicates(["doc", "cls"]) if repeated else items, "sets")
+        return source.mapInArrow(run, source.schema).drop("key")
+
+    def slots(ends: DataFrame) -> tuple[np.ndarray, int]:
+        high = slot_bits(ends.count())
+        return slot_filter(ends.select(F.xxhash64("end").alias("key")), high), high
+
+    ends = may.select(F.explode(F.array("a", "b")).alias("end"))
+    fine = wanted_rows(reps.select("cls", "rep", "n", "fine", F.xxhash64("cls").alias("key")), *slots(ends))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(6).to_numpy(), b.column(7).to_numpy()
+            most = [_fine_bound(x, y, i, j) for x, y, i, j in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), n.tolist(), m.tolist(), strict=True)]
+            yield b.filter(pa.array(np.array(most, np.int64) * (100 + percent) >= percent * (n + m), pa.bool_())).select(["a", "src", "b", "dst"])
+
+    both = may.join(fine.toDF("a", "src", "na", "x"), "a").join(fine.toDF("b", "dst", "nb", "y"), "b")
+    may = written(both.select("a", "src", "b", "dst", "x", "y", "na", "nb").mapInArrow(finer, "a long, src long, b long, dst long"), "near")
+    ends = may.select(F.explode(F.array("src", "dst")).alias("end"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text")).where("doc is not null").withColumn("key", F.xxhash64("doc"))
+    texts = wanted_rows(source, *slots(ends))
+    if repeated:
+        texts = texts.distinct()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A repeated id brings several texts: only those of the classes that are meant count."""
         for b in batches:
             src, dst = [], []
-            for s, d, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            sets = [list(each(b.select([k]), k)) for k in ("x", "y")]
+            for s, d, a, c, (_, x), (_, y) in zip(*(b.column(k).to_pylist() for k in range(4)), *sets, strict=True):
+                if repeated and (not len(x) or not len(y) or _class(x) != a or _class(y) != c):
+                    continue
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
@@ -300,10 +390,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, r
                     dst.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    left = items.select(F.col("doc").alias("src"), F.col("cls").alias("a"), F.col("items").alias("x"))
-    right = items.select(F.col("doc").alias("dst"), F.col("cls").alias("b"), F.col("items").alias("y"))
-    links = may.join(left, ["src", "a"]).join(right, ["dst", "b"]).select("src", "dst", "x", "y").mapInArrow(match, "src long, dst long")
-    return written(links, "links")
+    links = may.join(texts.toDF("src", "x"), "src").join(texts.toDF("dst", "y"), "dst").select("src", "dst", "a", "b", "x", "y")
+    return written(links.mapInArrow(match, "src long, dst long").distinct() if repeated else links.mapInArrow(match, "src long, dst long"), "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -313,22 +401,23 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable. Null and empty texts have no shingles and link with
     nothing, so they keep their own id. Rows that share a doc_id count as linked. Rows without a doc_id
     link with nothing and get a null component_id. Other columns are ignored; an empty table gives one."""
-    spark = docs.sparkSession
     first = written(classes(docs), "classes")
-    members = first.where("slot is null").select("doc_id", "n", "cls", "bits")
-    rare = np.zeros(SLOTS, np.float64)
-    for r in first.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).toPandas().itertuples():  # SLOTS rows at most
-        rare[r.slot] = r.times
-    rare = np.floor(4 * np.log2(1 + rare)).astype(np.uint8)
+    members = first.where("slot is null").select("doc_id", "n", "cls", "bits", "fine")
+    rare = np.zeros(1 << RARITY_BITS, np.uint8)
+    level = F.floor(4 * F.log2(F.sum("times"))).cast("int")
+    counted = first.where("slot is not null").groupBy("slot").agg(F.least(level, F.lit(255)).alias("level")).toArrow()  # a row for each slot at most
+    rare[counted["slot"].to_numpy()] = counted["level"].to_numpy()
     named = members.where("cls is not null and doc_id is not null")
-    reps = written(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "reps")
+    stand = F.min_by(F.struct("n", "bits", "fine"), "doc_id")
+    reps = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), stand.alias("x")).select("cls", "rep", "x.*")
+    reps = written(reps, "reps")
     repeated = members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     some = repeated.limit(1).count() > 0
     tiled = written(tiles(docs, rare, percent), "tiles")
     links = verified(few_pairs(tiled, percent), docs, reps, percent, some)
-    for propose in (next_pairs, lambda tiled, parts, percent: rest_pairs(tiled, parts, reps.select("cls", "bits"), percent)):
+    for propose in (next_pairs, rest_pairs):
         found = components(links)
-        parts = reps.join(found, reps["rep"] == found["node"]).select("cls", F.xxhash64("component").alias("comp"))
+        parts = reps.join(found, reps["rep"] == found["node"], "left").select("cls", "bits", F.xxhash64(F.coalesce("component", "rep")).alias("comp"))
         links = links.union(verified(propose(tiled, parts, percent), docs, reps, percent, some))
     if some:  # the other classes of a repeated id are linked with the class it stands for
         shared = named.join(reps.select("cls", "rep"), "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
