@@ -2,9 +2,9 @@
 
 Equal sets are one class. A class puts its rarest shingles (as many as a partner must share one of) into
 tiles; a tile holds classes that share a shingle, in order of set size, and ends where sizes leave a gap that no
-pair can bridge. Each tile first proposes few pairs (the class of least hash with each other), then neighbours
-that are still apart; what these link needs no more pairs. Then tiles propose every pair between parts not yet
-linked that may match by size, place and bitmap. Pairs pass a second bound from bitmaps as wide as their sets
+pair can bridge. First each class is held against one hub of its tiles, then twice against the one of another part
+that its bitmap says is nearest; what these link needs no more pairs. Then tiles propose every pair between parts
+not yet linked that may match by size, place and bitmap. Pairs pass a second bound from bitmaps as wide as their sets
 are large before their sorted sets are intersected."""
 
 from __future__ import annotations
@@ -197,12 +197,6 @@ def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
 _PAIR = "a long, b long"
 
 
-def _batch(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(x):
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-
 def _lists(batch: pa.RecordBatch, columns: range) -> tuple[np.ndarray, list[np.ndarray]]:
     """The number of each value's row, and the values of these list columns one after another."""
     size = pc.list_value_length(batch.column(columns[0])).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -211,9 +205,9 @@ def _lists(batch: pa.RecordBatch, columns: range) -> tuple[np.ndarray, list[np.n
 
 
 def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
-    """In each tile, the class of least hash with every other one of a size that may match.
+    """Each class with one other: of the classes of least hash in its tiles and of a size that may match, the least.
 
-    Tiles of one group of near copies mostly choose the same class, so that the pairs stay few."""
+    So the pairs are as many as the classes at most, and the classes of one group mostly choose the same one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +218,13 @@ def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
                 least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(row))))
                 at = np.flatnonzero(rank == least)  # one of each row, as its classes differ
                 hub = at[np.searchsorted(row[at], row)]
-                near = (m * 100 >= percent * m[hub]) & (m[hub] * 100 >= percent * m) & (hub != np.arange(len(c)))
-                yield from _batch(c[near], c[hub[near]])
+                near = np.flatnonzero((m * 100 >= percent * m[hub]) & (m[hub] * 100 >= percent * m) & (hub != np.arange(len(c))))
+                near = near[np.lexsort((rank[hub[near]], c[near]))]
+                near = near[np.concatenate([[True], c[near][1:] != c[near][:-1]])] if len(near) else near
+                yield pa.RecordBatch.from_arrays([pa.array(c[near]), pa.array(c[hub[near]]), pa.array((rank[hub[near]] >> np.uint64(1)).astype(np.int64))], ["a", "b", "rank"])
 
-    return tiled.select("cls", "n").mapInArrow(run, _PAIR).distinct()
+    chosen = tiled.select("cls", "n").mapInArrow(run, f"{_PAIR}, rank long").groupBy("a").agg(F.min_by("b", "rank").alias("b"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _told(tiled: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
@@ -240,35 +237,13 @@ def _told(tiled: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
     return told
 
 
-def next_pairs(tiled: DataFrame, parts: DataFrame, percent: int, each: int = 2) -> DataFrame:
-    """Each class with the next ``each`` ones of its tile, by size, that are in other parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, (c, m, k) = _lists(batch, range(3))
-            if not len(c):
-                continue
-            other = np.concatenate([(row[1:] != row[:-1]) | (k[1:] != k[:-1]), [True]])
-            edges = np.append(np.flatnonzero(other) + 1, len(c))
-            after = edges[np.searchsorted(edges, np.arange(len(c)), side="right")]  # where another part begins
-            a, b = [], []
-            for step in range(each):
-                at = after + step
-                i = np.flatnonzero(at < len(c))
-                i = i[(row[at[i]] == row[i]) & (k[at[i]] != k[i]) & (m[at[i]] * percent <= m[i] * 100)]
-                a.append(c[i])
-                b.append(c[at[i]])
-            yield from _batch(np.concatenate(a), np.concatenate(b))
-
-    told = _told(tiled, parts).where("low != high")
-    return told.select(*(F.col("xs")[k].alias(k) for k in ("cls", "n", "comp"))).mapInArrow(run, _PAIR).distinct()
-
-
 _LISTS = ("cls", "n", "pos", "comp", "bits")
 
 
-def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap."""
+def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
+
+    With ``best``, only the one of each class whose bound is the highest, so that a round has few pairs."""
     told = _told(tiled, parts, "bits").where("more or low != high")
     told = written(told.select("tok", "part", "more", "low", "high", *(F.col("xs")[k].alias(k) for k in _LISTS)), "told")
     none = [F.lit(None).cast(told.schema[k].dataType).alias(f"{k}2") for k in _LISTS]
@@ -305,12 +280,26 @@ def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             i, j = i[ok], j[ok]
             most = 1 + np.minimum(n[i] - pos[i] - 1, n2[j] - pos2[j] - 1)
             ok = most * (100 + percent) >= percent * (n[i] + n2[j])
-            i, j = i[ok], j[ok]
-            ok = _bound(x[i], y[j], n[i], n2[j]) * (100 + percent) >= percent * (n[i] + n2[j])
-            yield from _batch(c[i[ok]], c2[j[ok]])
+            i, j, most = i[ok], j[ok], most[ok]
+            most = np.minimum(most, _bound(x[i], y[j], n[i], n2[j]))
+            ok = most * (100 + percent) >= percent * (n[i] + n2[j])
+            i, j, most = i[ok], j[ok], most[ok]
+            if best:
+                like = most / (n[i] + n2[j] - most)
+                a, b, like = np.concatenate([c[i], c2[j]]), np.concatenate([c2[j], c[i]]), np.concatenate([like, like])
+                by = np.lexsort((b, -like, a))
+                by = by[np.concatenate([[True], a[by][1:] != a[by][:-1]])] if len(by) else by
+                yield pa.RecordBatch.from_arrays([pa.array(a[by]), pa.array(b[by]), pa.array(like[by])], ["a", "b", "like"])
+            elif len(i):
+                both = np.unique(np.stack([np.minimum(c[i], c2[j]), np.maximum(c[i], c2[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
             at = end
 
-    return one.unionByName(two).mapInArrow(run, _PAIR).where("a != b").distinct()
+    found = one.unionByName(two)
+    if not best:
+        return found.mapInArrow(run, _PAIR).distinct()
+    found = found.mapInArrow(run, f"{_PAIR}, like double").groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _bound(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
@@ -415,10 +404,10 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     some = repeated.limit(1).count() > 0
     tiled = written(tiles(docs, rare, percent), "tiles")
     links = verified(few_pairs(tiled, percent), docs, reps, percent, some)
-    for propose in (next_pairs, rest_pairs):
+    for best in (True, True, False):
         found = components(links)
         parts = reps.join(found, reps["rep"] == found["node"], "left").select("cls", "bits", F.xxhash64(F.coalesce("component", "rep")).alias("comp"))
-        links = links.union(verified(propose(tiled, parts, percent), docs, reps, percent, some))
+        links = links.union(verified(rest_pairs(tiled, parts, percent, best), docs, reps, percent, some))
     if some:  # the other classes of a repeated id are linked with the class it stands for
         shared = named.join(reps.select("cls", "rep"), "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
         links = links.union(shared.join(repeated, shared["src"] == repeated["doc_id"], "left_semi"))
