@@ -10,18 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import in_slots, partitions, slot_bits, slot_filter, written
 from .shingles import mix
-from .suffixes import WIDTH, anchored, repeated_windows, stretches
+from .suffixes import SIDE, WIDTH, anchored, repeated_windows, stretches
 
-FILTER = 1 << 24
 GROUP = 400_000  # bytes of distinct pieces in one suffix array
 HOT = 4096  # pieces of one anchor in a bucket, about
 AT_ONCE = 1_000_000
 
 
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(document, its bytes, hashes, anchors, first and last windows, place of the bytes in the document), text by text; texts are hashed many at a time."""
+def _runs(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(document, its bytes, place of the bytes in the document, hashes, left keys, right keys, anchors, first and last windows), text by text; texts are hashed many at a time."""
     docs, texts = b.column(0).to_pylist(), b.column(1)
     held: list[tuple[int, bytes, int]] = []  # document, bytes, place of the bytes in the document
 
@@ -29,12 +28,12 @@ def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarra
         data = np.frombuffer(b"".join(t for _, t, _ in held), np.uint8)
         ends = np.cumsum([len(t) for _, t, _ in held])
         with np.errstate(over="ignore"):
-            h, p, s, e = anchored(data, ends)
+            h, left, right, p, s, e = anchored(data, ends)
         cut = np.searchsorted(s, np.concatenate([[0], ends]))
         for k, (d, t, base) in enumerate(held):
             x, begin = slice(cut[k], cut[k + 1]), int(ends[k]) - len(t)
             if cut[k] < cut[k + 1]:
-                yield d, t, h[x], p[x] - begin, s[x] - begin, e[x] - begin, base
+                yield d, t, base, h[x], left[x], right[x], p[x] - begin, s[x] - begin, e[x] - begin
         held.clear()
 
     size = 0
@@ -52,9 +51,13 @@ def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarra
 
 
 def _keys(docs: DataFrame) -> DataFrame:
+    """(key, n) of the left and right keys that are met more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [r[2] for r in _runs(b)]
+            found = []
+            for _, _, _, _, left, right, p, s, e in _runs(b):
+                found += [left[s <= p - SIDE], right[e > p - SIDE]]
             if found:
                 key, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
@@ -62,9 +65,21 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _pieces(docs: DataFrame, wanted: np.ndarray, hot: np.ndarray, buckets: np.ndarray) -> DataFrame:
+def _mixed(keys: DataFrame) -> DataFrame:
+    """The keys with their bits mixed, as the high ones alone tell anchors only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with np.errstate(over="ignore"):
+                yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["key"])
+
+    return keys.mapInArrow(run, "key long")
+
+
+def _pieces(docs: DataFrame, wanted: np.ndarray, high: int, hot: np.ndarray, buckets: np.ndarray) -> DataFrame:
     """(key, salt, salts, doc, base, anchor, piece): the bytes around each anchor that may be repeated, at ``base`` in the document.
 
+    Of a run's windows only those go on whose key may be repeated (``wanted``).
     Anchors of very many pieces (in slot ``hot[k]``) are dealt over ``buckets[k]`` buckets. Of a piece that a task
     meets again and again, as in periodic text, the first two go on; of the others all is known to be repeated,
     so only their places do (with no piece, and their length as the anchor)."""
@@ -74,13 +89,16 @@ def _pieces(docs: DataFrame, wanted: np.ndarray, hot: np.ndarray, buckets: np.nd
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for d, t, h, p, s, e, base in _runs(b):
+            for d, t, base, h, left, right, p, s, e in _runs(b):
+                on_left = (s <= p - SIDE) & in_slots(wanted, mix(left), high)
+                on_right = (e > p - SIDE) & in_slots(wanted, mix(right), high)
+                s, e = np.where(on_left, s, np.maximum(s, p - SIDE + 1)), np.where(on_right, e, np.minimum(e, p - SIDE))
                 begin = end = -1  # of the stretch known to be repeated
                 slot = (h >> np.uint64(40)).astype(np.int64)
                 at = np.minimum(np.searchsorted(hot, slot), max(0, len(hot) - 1))
                 salts = np.where(hot[at] == slot, buckets[at], 1) if len(hot) else np.ones(len(slot), np.int64)
                 deal = mix(np.full(len(h), d, np.int64).view(np.uint64) + s.astype(np.uint64)) % salts.astype(np.uint64)
-                for k in np.flatnonzero(wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist():
+                for k in np.flatnonzero(on_left | on_right).tolist():
                     first, last = int(s[k]), int(e[k]) + WIDTH
                     piece = t[first:last]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
@@ -185,11 +203,12 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     texts = keyed.select("doc", "raw")
     twice = written(_keys(texts), "anchors")
-    wanted = np.zeros(FILTER, bool)  # keeps most anchors that stand alone from being shuffled; at most FILTER numbers come here
-    wanted[twice.select(F.shiftrightunsigned("key", 40).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    high = slot_bits(twice.count())
+    wanted = slot_filter(_mixed(twice.select("key")), high)  # keeps most windows that stand alone from being shuffled
     slot = F.shiftrightunsigned("key", 40).cast("int").alias("slot")
-    hot = twice.where(F.col("n") > 2 * HOT).groupBy(slot).agg(F.ceil(F.max("n") / HOT).alias("salts")).orderBy("slot").toArrow()  # at most FILTER rows
-    pieces = _pieces(texts, np.packbits(wanted), hot["slot"].to_numpy().astype(np.int64), hot["salts"].to_numpy().astype(np.int64))
+    hot = twice.groupBy(slot).agg(F.sum("n").alias("n")).where(F.col("n") > 4 * HOT).select("slot", F.ceil(F.col("n") / (2 * HOT)).alias("salts"))
+    hot = hot.orderBy("slot").toArrow()  # at most 2^24 rows
+    pieces = _pieces(texts, wanted, high, hot["slot"].to_numpy().astype(np.int64), hot["salts"].to_numpy().astype(np.int64))
     found = written(_covered(pieces), "covered")
     open_ = found.where("digest is not null")
     shared = open_.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shingles import mix
+
 WIDTH = 200
 GRAM = 32
 STEP = 8
+SIDE = (WIDTH - GRAM) // 2  # bytes on either side of an anchor: every window has them on one side at least
 SYMBOLS = WIDTH // STEP - 1  # whole symbols that every WIDTH bytes hold, wherever they begin
 
 
@@ -98,14 +101,17 @@ _MULT = [np.uint64(pow(0x9E3779B97F4A7C15, t, 2**64)) for t in (1, 2, 4, 8, 16)]
 PLACE = 24  # bits of a place in the text that is read at once
 
 
-def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first window, last window) of each run of windows with the same anchor.
+def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, left key, right key, anchor, first window, last window) of each run of windows with the same anchor.
 
     ``data`` holds texts one after another, each up to its ``ends``; windows are WIDTH bytes of one text, and
-    a window's anchor is the leftmost of its GRAM-byte strings with the least 40 high hash bits."""
+    a window's anchor is the leftmost of its GRAM-byte strings with the least 40 high hash bits. Every window
+    also holds the SIDE bytes before its anchor or those after the anchor's string: the keys, whose high bits are
+    those of the hash, tell these, so that a window whose key is nowhere else is not repeated."""
     none = np.zeros(0, np.int64)
+    empty = (*[none.astype(np.uint64)] * 3, none, none, none)
     if len(data) < WIDTH:
-        return none.astype(np.uint64), none, none, none
+        return empty
     h = _BYTE[data]
     for k, t in enumerate((1, 2, 4, 8, 16)):
         h = h[:-t] * _MULT[k] + h[t:]
@@ -128,11 +134,20 @@ def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         begin = end
     windows = np.flatnonzero(inside)
     if not len(windows):
-        return none.astype(np.uint64), none, none, none
+        return empty
     at = at[windows]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     last = np.append(new[1:], len(at)) - 1
-    return h[at[new]], at[new], windows[new], windows[last]
+    p = at[new]
+
+    def key(*offsets: int) -> np.ndarray:
+        """Of the GRAM-byte strings at these offsets from the anchor; where they leave the data, no window has them."""
+        x = h[p]
+        for o in offsets:
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[np.clip(p + o, 0, len(h) - 1)])
+        return (h[p] & ~low) | (x & low)
+
+    return h[p], key(-SIDE, -SIDE + GRAM, -GRAM), key(GRAM, 2 * GRAM, SIDE) ^ np.uint64(1), p, windows[new], windows[last]
 
 
 def repeated_windows(pieces: list[tuple[bytes, int]]) -> list[np.ndarray]:
