@@ -21,7 +21,7 @@ from .common import components, in_slots, partitions, slot_bits, slot_filter, wr
 from .shingles import K, each, mix
 
 RARITY_BITS = 22  # the table of how often shingles repeat has as many slots as these high bits tell apart
-HELD = 4_000_000  # shingles that a task counts at once
+HELD = 1 << 20  # shingles that a task counts at once
 BITS = 512
 TILE = 4096
 PAIRS = 1 << 18  # pairs whose bitmaps are held against each other at once
