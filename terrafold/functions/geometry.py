@@ -45,6 +45,36 @@ def overlap(a: str, b: str) -> Column:
     return F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
 
 
+def clipped_ring(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """A ring cut by a box, one side after another. Where a concave ring falls apart, its parts stay joined by
+    edges along the box, which have no area: sums over the ring are those of the parts."""
+    for axis, low, high in (("x", minx, maxx), ("y", miny, maxy)):
+        for bound, sign in ((low, 1), (high, -1)):
+            ring = _cut(ring, axis, bound, sign)
+    return ring
+
+
+def _cut(ring: Column, axis: str, bound: Column, sign: int) -> Column:
+    def edge(a: Column, b: Column) -> Column:
+        da, db = (a[axis] - bound) * sign, (b[axis] - bound) * sign
+        t = da / (da - db)
+        crossing = F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+        crosses = ((da < 0) & (db > 0)) | ((da > 0) & (db < 0))
+        own = F.when(da >= 0, F.array(a)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        return F.when(crosses, F.concat(own, F.array(crossing))).otherwise(own)
+
+    def run(r: Column) -> Column:
+        after = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+        return F.flatten(F.zip_with(r, after, edge))
+
+    return F.element_at(F.transform(F.array(ring), run), 1)
+
+
+def clipped_area(rings: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Area that a polygon (shell and holes, concave too) shares with a box."""
+    return polygon_area(F.transform(rings, lambda r: clipped_ring(r, minx, miny, maxx, maxy)))
+
+
 def wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ","), F.lit("))"))
 

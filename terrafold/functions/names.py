@@ -108,3 +108,49 @@ def without_escapes(c: Column) -> Column:
 
 def grid_id(row: Column, col: Column) -> Column:
     return F.format_string("R%05dC%05d", row, col)
+
+
+def plain_name(c: Column, default: str = "CITY") -> Column:
+    """Only letters, digits, hyphens and underscores; runs of others are one underscore."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_-]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit(default))
+
+
+def single_spaced(c: Column) -> Column:
+    """Trimmed, with an underscore for each run of white space."""
+    return F.regexp_replace(F.trim(c), r"\s+", "_")
+
+
+def county_file(code: Column, date: Column, scene: Column, satellite: Column, resolution: Column) -> Column:
+    return F.format_string("CQDOM%s_%s_%s_%s_%s.tif", code, date, scene, satellite, resolution)
+
+
+def city_file(code: Column, sensing: Column) -> Column:
+    return F.format_string("%s_%s.tif", code, sensing)
+
+
+def result_name(c: Column, fallback: Column, suffix: str) -> Column:
+    """The last part of a wanted name, or the fallback, with the suffix."""
+    name = F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"^.*[/\\\\]", "")), F.lit("")), fallback)
+    return F.when(F.lower(name).endswith(suffix), name).otherwise(F.concat(name, F.lit(suffix)))
+
+
+def log_path(root: str, created_at: Column) -> Column:
+    """A file for each day; 'unknown' where the time has no date."""
+    day = F.substring(created_at, 1, 10)
+    return F.concat(F.lit(f"{root}/"), F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).otherwise("unknown"), F.lit(".log"))
+
+
+def box_name(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The numbers of a box as a file name: p for a point, m for a minus."""
+    return F.translate(F.concat_ws("_", *(c.cast("string") for c in (minx, miny, maxx, maxy))), ".-", "pm")
+
+
+def valid_range(start: Column, end: Column) -> Column:
+    """Both are yyyy-mm-dd dates, and the start isn't after the end."""
+    form = r"^\d{4}-\d{2}-\d{2}$"
+    return F.coalesce(start.rlike(form) & end.rlike(form) & (F.try_to_date(start) <= F.try_to_date(end)), F.lit(False))
+
+
+def hidden(c: Column) -> Column:
+    """Hidden or temporary files."""
+    return c.startswith(".") | F.lower(c).contains(".tmp.")

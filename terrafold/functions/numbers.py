@@ -47,3 +47,40 @@ def difference(base: Column, other: Column) -> tuple[Column, Column]:
     """Difference and its percentage of the base; NaN without a base."""
     d = other - base
     return d, F.when(base > 0, F.abs(d) / base * 100).otherwise(F.lit(float("nan")))
+
+
+def overview_levels(width: Column, height: Column, rule: str, least: int = 128, most: int = 256) -> Column:
+    """Levels by the other rules: 'longest' (the longer side keeps a pixel), 'shorter' (the shorter one keeps ``least``), 'both' (each side keeps a pixel)."""
+    powers = F.array(*(F.lit(2**k) for k in range(1, int(math.log2(most)) + 1)))
+    side, kept = {"longest": (F.greatest(width, height), 1), "shorter": (F.least(width, height), least), "both": (F.least(width, height), 1)}[rule]
+    return F.filter(powers, lambda f: F.floor(side / f) >= kept)
+
+
+def fitted(minx: Column, miny: Column, maxx: Column, maxy: Column, aspect: float) -> Column:
+    """Bounds widened around their middle, on one axis, to width / height = aspect."""
+    w, h = maxx - minx, maxy - miny
+    dx, dy = F.greatest(h * aspect - w, F.lit(0.0)) / 2, F.greatest(w / aspect - h, F.lit(0.0)) / 2
+    return F.struct((minx - dx).alias("minx"), (miny - dy).alias("miny"), (maxx + dx).alias("maxx"), (maxy + dy).alias("maxy"))
+
+
+def to_pixel(x: Column, y: Column, minx: Column, maxy: Column, scale: Column) -> tuple[Column, Column]:
+    """Pixel of a place: columns from the left, rows from the top."""
+    return (x - minx) * scale, (maxy - y) * scale
+
+
+def unit_factor(x: Column, y: Column) -> Column:
+    """The factor to metres if both axes agree, else null."""
+    return F.when(F.abs(x - y) <= 1e-12, x)
+
+
+def rate(done: Column, elapsed: Column) -> Column:
+    return done / F.nullif(elapsed, F.lit(0))
+
+
+def remaining(done: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds to go at the rate so far; null before anything is done."""
+    return (total - done) / F.nullif(rate(done, elapsed), F.lit(0))
+
+
+def preview_scale(width: Column, height: Column, most: int = 1200) -> Column:
+    return F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))

@@ -27,12 +27,15 @@ def by_region(scenes: DataFrame, regions: DataFrame, keys: list[str], cell: floa
     return pairs.groupBy("city_code", *keys).agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"), F.countDistinct("path").alias("scenes"))
 
 
-def covered(scenes: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
-    """Percent of each region that scenes cover together, 0 to 100, and the area that is missing."""
-    pairs = box_join(scenes.select("minx", "miny", "maxx", "maxy"), regions, cell)
-    cut = pairs.select("city_code", F.greatest("minx", "r_minx").alias("minx"), F.greatest("miny", "r_miny").alias("miny"), F.least("maxx", "r_maxx").alias("maxx"), F.least("maxy", "r_maxy").alias("maxy"))
-    have = unique_area(cut, ["city_code"], cell)
+def covered(scenes: DataFrame, regions: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
+    """Percent of each region that scenes cover together, 0 to 100, and the area that is missing.
+
+    With ``by``, for the scenes of each group that has any over the region."""
+    by = by or []
+    pairs = box_join(scenes.select(*by, "minx", "miny", "maxx", "maxy"), regions, cell)
+    cut = pairs.select(*by, "city_code", F.greatest("minx", "r_minx").alias("minx"), F.greatest("miny", "r_miny").alias("miny"), F.least("maxx", "r_maxx").alias("maxx"), F.least("maxy", "r_maxy").alias("maxy"))
+    have = unique_area(cut, [*by, "city_code"], cell)
     whole = regions.groupBy("city_code").agg(F.sum((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("whole"))
-    out = whole.join(have, "city_code", "left").withColumn("have", F.coalesce("unique_area_m2", F.lit(0.0)))
+    out = whole.join(have, "city_code", "inner" if by else "left").withColumn("have", F.coalesce("unique_area_m2", F.lit(0.0)))
     percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("have") / F.col("whole") * 100))
-    return out.select("city_code", F.round(percent, 4).alias("percent"), F.round(F.greatest(F.col("whole") - F.col("have"), F.lit(0.0)), 4).alias("missing_m2"))
+    return out.select(*by, "city_code", F.round(percent, 4).alias("percent"), F.round(F.greatest(F.col("whole") - F.col("have"), F.lit(0.0)), 4).alias("missing_m2"))

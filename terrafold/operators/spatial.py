@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.functions import geometry as G
 from terrafold.functions.geometry import overlap
 from terrafold.functions.names import grid_id
 from terrafold.functions.numbers import MU_PER_M2
@@ -53,6 +54,24 @@ def region_totals(parcels: DataFrame, regions: DataFrame, keys: list[str], cell:
     return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("area_m2", "files", "hits")))
 
 
+def polygon_area_by_region(parcels: DataFrame, regions: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """As ``area_by_region`` for parcels with ``rings``: their boxes meet in cells, then the rings are cut by the region's box.
+
+    Parcels whose box meets a region but whose rings share no area with it don't count."""
+    boxed = parcels.withColumn("_b", G.bounds(F.col("rings"))).select("rings", "_b.*")
+    pairs = box_join(boxed, regions, cell)
+    area = G.clipped_area(F.col("rings"), *(F.col(f"r_{c}") for c in BOX))
+    return pairs.withColumn("area", area).where("area > 0").groupBy(*keys).agg(F.sum("area").alias("area_m2"), F.count("*").alias("hits"))
+
+
+def grid_by_boundary(cells: DataFrame, rings: Column, size: float) -> DataFrame:
+    """Cells with what they share with one boundary (``rings``): area, whether it meets, holds the centre, or covers the cell."""
+    x, y = F.col("xmin_m"), F.col("ymin_m")
+    area = G.clipped_area(rings, x, y, x + size, y + size)
+    out = cells.withColumn("clip_m2", area)
+    return out.withColumn("meets", F.col("clip_m2") > 1e-6).withColumn("centre", G.covers_point(rings, x + size / 2, y + size / 2)).withColumn("within", F.col("clip_m2") >= size * size - 1e-6)
+
+
 def unique_area(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
     """Area of the union of boxes by key: boxes are cut at tiles, and each tile is swept over its x stretches.
 

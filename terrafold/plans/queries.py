@@ -68,9 +68,9 @@ def province_grid(spark, d):
     return spatial.grid(extent, 100.0)
 
 
-@query(f"""SELECT p.parcel_id AS a, r.parcel_id AS b, {_SHARE} AS area FROM fields p JOIN fields r ON p.parcel_id < r.parcel_id AND {_MEET} WHERE {_SHARE} >= 60""", "fields")
+@query(f"""SELECT p.parcel_id AS a, r.parcel_id AS b, {_SHARE} AS area FROM fields p JOIN fields r ON p.parcel_id < r.parcel_id AND {_MEET} WHERE {_SHARE} >= 0.00666667""", "fields")
 def overlapping_fields(spark, d):
-    return spatial.overlaps(view(spark, d, "fields"), "parcel_id", 50.0, 60.0)
+    return spatial.overlaps(view(spark, d, "fields"), "parcel_id", 50.0, 0.00666667)
 
 
 @query("""SELECT source_file, area_before, parcels_before, area_after, parcels_after, area_after - area_before AS difference, round(abs(area_after - area_before) / area_before * 100, 4) AS percent FROM (
@@ -189,11 +189,12 @@ def scenes_by_city(spark, d):
     return scenes.by_region(scenes.parsed(view(spark, d, "scenes")), view(spark, d, "cities"), ["satellite", "day"], 250.0)
 
 
-@query("""SELECT city_code, round(least(100, greatest(0, n / 10000.0)), 4) AS percent, round(greatest(1000000 - n, 0), 4)::DOUBLE AS missing_m2 FROM (
-SELECT city_code, count(*) AS n FROM (SELECT DISTINCT city_code, x, y FROM (SELECT DISTINCT unnest(range(CAST(minx AS BIGINT), CAST(maxx AS BIGINT))) AS x, y FROM (SELECT DISTINCT minx, maxx, unnest(range(CAST(miny AS BIGINT), CAST(maxy AS BIGINT))) AS y FROM scenes WHERE name LIKE 'S2A%' AND path LIKE '%7.tif')) JOIN cities c ON x >= c.minx AND x < c.maxx AND y < c.maxy) GROUP BY 1)""", "cities", "scenes")
+@query("""SELECT satellite, day, city_code, round(least(100, greatest(0, n / 10000.0)), 4) AS percent, round(greatest(1000000 - n, 0), 4)::DOUBLE AS missing_m2 FROM (
+SELECT satellite, day, city_code, sum(greatest(b - greatest(a, coalesce(top, a)), 0)) AS n FROM (SELECT *, max(b) OVER (PARTITION BY satellite, day, city_code, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (
+SELECT DISTINCT satellite, day, c.city_code, y, greatest(s.minx, c.minx) AS a, least(s.maxx, c.maxx) AS b FROM (SELECT substr(name, 1, 3) AS satellite, substr(name, 12, 8) AS day, minx, maxx, unnest(range(CAST(miny AS BIGINT), CAST(maxy AS BIGINT))) AS y FROM scenes) s
+JOIN cities c ON s.minx < c.maxx AND s.maxx > c.minx AND y >= c.miny AND y < c.maxy)) GROUP BY 1, 2, 3)""", "cities", "scenes")
 def city_coverage(spark, d):
-    some = view(spark, d, "scenes").where("name like 'S2A%' and path like '%7.tif'")
-    return scenes.covered(some, view(spark, d, "cities"), 250.0)
+    return scenes.covered(scenes.parsed(view(spark, d, "scenes")), view(spark, d, "cities"), 250.0, ["satellite", "day"])
 
 
 @query("""SELECT path, name, first_value(path) OVER w AS adopted, row_number() OVER w > 1 AS duplicate FROM files WINDOW w AS (PARTITION BY lower(name) ORDER BY lower(path), path)""", "files")
@@ -363,10 +364,10 @@ def complete_groups(spark, d):
 
 
 @query(f"""SELECT CASE WHEN sa >= sb THEN b ELSE a END AS parcel_id, sum(area) AS lost_m2, count(*) AS overlaps FROM (SELECT p.parcel_id AS a, r.parcel_id AS b, {_SHARE} AS area, (p.maxx - p.minx) * (p.maxy - p.miny) AS sa, (r.maxx - r.minx) * (r.maxy - r.miny) AS sb
-FROM fields p JOIN fields r ON p.parcel_id < r.parcel_id AND {_MEET} WHERE {_SHARE} >= 60) GROUP BY 1""", "fields")
+FROM fields p JOIN fields r ON p.parcel_id < r.parcel_id AND {_MEET}) GROUP BY 1""", "fields")
 def topology_losses(spark, d):
     f = view(spark, d, "fields")
-    return tables.kept_by_largest(f, spatial.overlaps(f, "parcel_id", 50.0, 60.0))
+    return tables.kept_by_largest(f, spatial.overlaps(f, "parcel_id", 50.0, 0.0))
 
 
 @query(f"""SELECT c.city_code, format('{{:.6f}}', coalesce(sum(a), 0) * 0.0015) AS area_mu, format('{{:.4f}}', coalesce(sum(a), 0)) AS area_m2, count(a) AS files, CAST(coalesce(sum(h), 0) AS BIGINT) AS hits FROM cities c

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import terrafold.plans.reports  # noqa: F401
 from terrafold.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
