@@ -321,6 +321,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.learned)
         for b in batches:
-            yield b.filter(pa.array([model.score(lexicon.matches(t)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.score(lexicon.matches(t)) < threshold for t in (x.as_py() for x in b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
