@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_slots, partitions, slot_bits, slot_filter, written
+from .common import components, in_slots, partitions, slot_bits, slot_filter, small_batches, written
 from .shingles import K, each, mix
 
 RARITY_BITS = 22  # the table of how often shingles repeat has as many slots as these high bits tell apart
 HELD = 1 << 20  # shingles that a task counts at once
 BITS = 512
 TILE = 4096
-PAIRS = 1 << 18  # pairs whose bitmaps are held against each other at once
+PAIRS = 1 << 15  # pairs whose bitmaps are held against each other at once
 
 
 def _needed(n, percent: int):
@@ -390,6 +390,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable. Null and empty texts have no shingles and link with
     nothing, so they keep their own id. Rows that share a doc_id count as linked. Rows without a doc_id
     link with nothing and get a null component_id. Other columns are ignored; an empty table gives one."""
+    small_batches(docs.sparkSession)
     first = written(classes(docs), "classes")
     members = first.where("slot is null").select("doc_id", "n", "cls", "bits", "fine")
     rare = np.zeros(1 << RARITY_BITS, np.uint8)

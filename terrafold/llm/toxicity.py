@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 # The lexicon, by symbol.
 LEXICON = {
@@ -252,6 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """The model from labelled rows that aren't held out; at most ``max_rows`` of them, those of least hashed id.
 
     The sample is bounded so that fitting costs the same at every size; its texts stay on the executors."""
+    small_batches(docs.sparkSession)
     chosen = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out()).where("doc_id is not null")
     chosen = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
