@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import numbered, ranged
+
 #: States that a task doesn't leave.
 FINAL = ("completed", "failed", "cancelled")
 
@@ -45,10 +47,24 @@ def evicted(tasks: DataFrame, keep: int) -> DataFrame:
 
 
 def smoothed(samples: DataFrame, share: float = 0.35) -> DataFrame:
-    """Exponential smoothing of speeds by task, in the order of sequence; the first is the seed."""
-    speeds = samples.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "speed"))).alias("xs"))
-    run = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.col("xs")[0]["speed"], lambda s, x: s * (1 - share) + x["speed"] * share)
-    return speeds.select("task_id", F.round(run, 6).alias("speed"))
+    """Exponential smoothing of speeds by task, in the order of sequence; the first is the seed, and a null makes the task's speed null.
+
+    Each range of samples gives one weighted sum for a task, so that a task of any length is shared among the ranges."""
+    keep = 1 - share
+    rows = ranged(samples.select("task_id", "sequence", "speed"), "task_id", "sequence", "speed")
+    later = F.row_number().over(Window.partitionBy("range", "task_id").orderBy(F.desc("sequence"), F.desc("speed"))) - 1
+    rows = rows.withColumn("later", later)
+    sums = rows.groupBy("task_id", "range").agg(
+        F.count("*").alias("n"),
+        F.count("speed").alias("known"),
+        F.sum(F.col("speed") * share * F.pow(F.lit(keep), "later")).alias("sum"),
+        F.max_by("speed", "later").alias("seed"),
+    )
+    after = F.coalesce(F.sum("n").over(Window.partitionBy("task_id").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("after", after)  # at most a row for each range
+    seed = F.max_by(F.col("seed") * F.pow(F.lit(keep), F.col("after") + F.col("n")), F.col("after"))
+    speed = F.sum(F.col("sum") * F.pow(F.lit(keep), "after")) + seed
+    return sums.groupBy("task_id").agg(F.when(F.sum("known") == F.sum("n"), F.round(speed, 6)).alias("speed"))
 
 
 def progress_marks(progress: DataFrame, step: int = 5) -> DataFrame:
@@ -61,5 +77,4 @@ def progress_marks(progress: DataFrame, step: int = 5) -> DataFrame:
 
 def round_robin(rows: DataFrame, order: str, workers: int, per_client: int, clients: int) -> DataFrame:
     """Slot and client of each row by its number."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("slot", F.pmod(n, F.lit(workers))).withColumn("client", F.least(F.floor(F.col("slot") / per_client), F.lit(clients - 1)).cast("int"))
+    return numbered(rows, order, "slot").withColumn("slot", F.pmod("slot", F.lit(workers)).cast("int")).withColumn("client", F.least(F.floor(F.col("slot") / per_client), F.lit(clients - 1)).cast("int"))
