@@ -112,3 +112,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import passages
 
     return passages(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash
+
+    return simhash(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))

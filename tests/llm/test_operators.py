@@ -387,6 +387,6 @@ def test_registered():
     import corpus_pipeline
 
     names = e.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
     json.dumps(sorted(e.oracle_sql()))
