@@ -58,7 +58,8 @@ def _cut(ring: Column, axis: str, bound: Column, sign: int) -> Column:
     def edge(a: Column, b: Column) -> Column:
         da, db = (a[axis] - bound) * sign, (b[axis] - bound) * sign
         t = da / (da - db)
-        crossing = F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+        at = lambda c: bound if c == axis else a[c] + (b[c] - a[c]) * t
+        crossing = F.struct(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"))
         crosses = ((da < 0) & (db > 0)) | ((da > 0) & (db < 0))
         own = F.when(da >= 0, F.array(a)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
         return F.when(crosses, F.concat(own, F.array(crossing))).otherwise(own)

@@ -29,6 +29,13 @@ VIEWS = {
   CASE WHEN p_partkey % 13 = 0 THEN 'changed' ELSE p_type END AS hash FROM part WHERE p_partkey % 7 <> 0""",
     "files": """SELECT p_partkey, concat('/d', CAST(p_size % 9 AS STRING), '/', CAST(p_partkey AS STRING), '/', p_brand, CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.TIF' WHEN 1 THEN '.tif' ELSE '.ovr' END) AS path,
   concat(p_brand, CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.TIF' WHEN 1 THEN '.tif' ELSE '.ovr' END) AS name, CAST(p_size AS BIGINT) AS length FROM part""",
+    "shape_points": """SELECT o_orderkey AS parcel_id, o_orderstatus AS class_code, ring, pos, CAST((o_orderkey*37) % 5000 + px * (1 + o_orderkey % 5) AS DOUBLE) AS x, CAST((o_custkey*53) % 1000 + py * (1 + o_orderkey % 5) AS DOUBLE) AS y
+  FROM orders JOIN (VALUES (0,0,0,0,0), (0,0,1,4,0), (0,0,2,4,4), (0,0,3,0,4), (1,0,0,0,0), (1,0,1,4,0), (1,0,2,0,4),
+  (2,0,0,0,0), (2,0,1,4,0), (2,0,2,4,1), (2,0,3,1,1), (2,0,4,1,4), (2,0,5,0,4), (3,0,0,0,0), (3,0,1,4,0), (3,0,2,4,4), (3,0,3,0,4), (3,1,0,2,1), (3,1,1,3,2), (3,1,2,2,3), (3,1,3,1,2),
+  (4,0,0,0,0), (4,0,1,4,4), (4,0,2,4,0), (4,0,3,0,4), (5,0,0,0,0), (5,0,1,4,0), (5,0,2,4,2), (5,0,3,6,2), (5,0,4,4,2), (5,0,5,4,4), (5,0,6,0,4),
+  (6,0,0,0,0), (6,0,1,3,0), (6,0,2,3,3), (6,0,3,0,3), (6,1,0,1,1), (6,1,1,4,1), (6,1,2,4,4), (6,1,3,1,4)) AS t(shape, ring, pos, px, py) ON o_orderkey % 7 = shape""",
+    "zone_points": """SELECT CAST(1501 + r_regionkey AS STRING) AS city_code, 0 AS ring, pos, CAST(1000*r_regionkey + px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y
+  FROM region JOIN (VALUES (0,400,0), (1,600,0), (2,1000,400), (3,1000,600), (4,600,1000), (5,500,900), (6,400,1000), (7,0,600), (8,0,400)) AS t(pos, px, py) ON true""",
     "task_events": """SELECT event_id, user_id AS task_id, ts, event_type AS type, value FROM events""",
 }
 _USES = {n: sorted(set(re.findall(r"(?:FROM|JOIN) (\w+)", v)) - {"t"}) for n, v in VIEWS.items()}

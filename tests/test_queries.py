@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import terrafold.plans.polygons  # noqa: F401
 import terrafold.plans.reports  # noqa: F401
 from terrafold.plans.queries import ORACLE, QUERIES
 
