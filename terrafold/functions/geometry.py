@@ -91,6 +91,29 @@ def covers_point(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def representative_point(rings: Column) -> Column:
+    """A point inside the shape (even-odd rule): the middle of the widest stretch on a level line near its middle.
+
+    The line lies between the nearest heights of corners, so it meets none. Null if the shape has no area."""
+    corners = F.flatten(F.filter(rings, lambda r: r.isNotNull()))
+    ys = F.transform(corners, lambda p: p["y"])
+    middle = (F.array_min(ys) + F.array_max(ys)) / 2
+    line = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
+
+    def hits(y: Column, ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        at = lambda a, b: F.when((a["y"] > y) != (b["y"] > y), a["x"] + (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]))
+        return F.filter(F.zip_with(ring, after, at), lambda x: x.isNotNull())
+
+    def inside(y: Column) -> Column:
+        xs = F.array_sort(F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), lambda r: hits(y, r))))
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("width"), (-F.get(xs, i)).alias("left")))
+        widest = F.array_max(pairs)
+        return F.when((F.size(xs) > 1) & (widest["width"] > 0), F.struct((widest["width"] / 2 - widest["left"]).alias("x"), y.alias("y")))
+
+    return F.get(F.transform(F.filter(F.array(line), lambda y: y.isNotNull()), inside), F.lit(0))
+
+
 def utm_zone(lon: Column) -> Column:
     """The plain 6-degree zone."""
     return F.least(F.lit(60), F.floor((lon + 180) / 6).cast("int") + 1)

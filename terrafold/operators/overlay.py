@@ -123,7 +123,7 @@ def trapezoids(pieces: DataFrame, keys: list[str], rule: str) -> DataFrame:
 
     ``pieces`` come from ``in_tiles``. A shape (gid, side 0 or 1) covers what its rings enclose an odd number of times."""
     group = [*keys, "size", "tx", "ty"]
-    edges = edges_of(pieces)
+    edges = written(edges_of(pieces), "edges")
     ends = edges.select(*group, F.explode(F.array("x1", "x2")).alias("x"))
     xs = ends.unionByName(crossings(edges, group)).distinct()
     stretches = xs.select(*group, F.col("x").alias("xa"), F.lead("x").over(Window.partitionBy(*group).orderBy("x")).alias("xb")).where("xb is not null")
