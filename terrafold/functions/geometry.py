@@ -150,6 +150,39 @@ class Albers:
         return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """(lon, lat) in degrees of metres: the latitude by Newton steps, folded over a fixed number of rounds."""
+        e = math.sqrt(self.f * (2 - self.f))
+        p1, p2, p0 = (math.radians(v) for v in (self.lat_1, self.lat_2, self.lat_0))
+        m1, m2 = (math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2) for p in (p1, p2))
+        n = (m1 * m1 - m2 * m2) / (self._q(p2) - self._q(p1)) if p1 != p2 else math.sin(p1)
+        c = m1 * m1 + n * self._q(p1)
+        rho0 = self.a * math.sqrt(c - n * self._q(p0)) / n
+        down = rho0 - y
+        sign = math.copysign(1.0, n)
+        rho = F.sqrt(x * x + down * down)
+        q = (c - (rho * n / self.a) * (rho * n / self.a)) / n
+
+        def step(phi: Column, q: Column) -> Column:
+            s = F.sin(phi)
+            w = 1 - (e * s) * (e * s)
+            return phi + w * w / (2 * F.cos(phi)) * (q / (1 - e * e) - s / w + F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+        rounds = F.sequence(F.lit(1), F.lit(7))
+        phi = F.get(F.transform(F.array(q), lambda v: F.aggregate(rounds, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v / 2))), lambda p, _: step(p, v))), F.lit(0))
+        return self.lon_0 + F.degrees(F.atan2(sign * x, sign * down) / n), F.degrees(phi)
+
+
+def reprojected(rings: Column, project) -> Column:
+    """Rings with every point moved by ``project`` (x, y) -> (x, y), such as ``Albers.forward`` or ``Albers.inverse``."""
+
+    def point(p: Column) -> Column:
+        x, y = project(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(rings, lambda r: F.transform(r, point))
+
+
 def densified_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column, project, points: int = 21) -> Column:
     """Bounds of a projected box, from ``points`` more points on each edge."""
     steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda i: i / (points + 1.0))
