@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators import overlay, rasterize
+from terrafold.operators import generalize, overlay, rasterize
 from terrafold.plans.fixtures import view
 from terrafold.plans.queries import query
 
@@ -140,3 +140,20 @@ hit AS (SELECT city_code, p.raster_id, p.row, p.col FROM pixels p JOIN zs s ON (
 n AS (SELECT city_code, count(*) AS n FROM (SELECT DISTINCT city_code, row, col FROM hit) GROUP BY 1) SELECT z.city_code, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'created' ELSE 'no_coverage' END AS status FROM (SELECT DISTINCT city_code FROM zone_points) z LEFT JOIN n USING (city_code)""", "zone_points", "pixels")
 def zone_clips(spark, d):
     return rasterize.clip_status(view(spark, d, "pixels"), zones(spark, d), "city_code", GRID)
+
+
+@query("""SELECT parcel_id, round(sum(ax * by_ - bx * ay) / 2, 4) AS area, count(*) AS corners FROM (SELECT a.parcel_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM (SELECT DISTINCT parcel_id, x, y FROM shape_points) a JOIN (SELECT DISTINCT parcel_id, x, y FROM shape_points) b ON a.parcel_id = b.parcel_id AND (a.x <> b.x OR a.y <> b.y)
+JOIN (SELECT DISTINCT parcel_id, x, y FROM shape_points) p ON p.parcel_id = a.parcel_id GROUP BY ALL HAVING min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) >= 0
+AND count_if((b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) AND ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) < 0 OR (p.x - b.x) * (a.x - b.x) + (p.y - b.y) * (a.y - b.y) < 0)) = 0) GROUP BY 1""", "shape_points")
+def shape_hulls(spark, d):
+    h = generalize.hulls(view(spark, d, "shape_points"), "parcel_id")
+    return h.select("parcel_id", F.round(G.ring_area(F.col("ring")), 4).alias("area"), (F.size("ring") - 1).cast("long").alias("corners"))
+
+
+@query("""SELECT source_file, count(*) AS shown, max(feature_no) AS last, max(length(name)) AS widest FROM (SELECT *, min(CASE WHEN bad THEN feature_no END) OVER (PARTITION BY source_file) AS stop FROM
+(SELECT concat('f', CAST(o_orderkey % 40 AS VARCHAR), '.shp') AS source_file, o_orderkey // 40 AS feature_no, o_orderkey % 1009 = 700 AS bad, substr(repeat(o_orderpriority, 40), 1, 180) AS name FROM orders)) WHERE feature_no < 800 AND feature_no < coalesce(stop, 1000000000) GROUP BY 1""")
+def layer_previews(spark, d):
+    names = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("parcel_id"), F.create_map(F.lit("name"), F.repeat("o_orderpriority", 40)).alias("attributes"))
+    file, no = F.concat(F.lit("f"), (F.col("parcel_id") % 40).cast("string"), F.lit(".shp")), F.expr("parcel_id div 40")
+    f = shapes(spark, d).join(names, "parcel_id").select(file.alias("source_file"), no.alias("feature_no"), F.when(F.col("parcel_id") % 1009 != 700, F.col("rings")).alias("rings"), "attributes")
+    return generalize.preview(f).groupBy("source_file").agg(F.count("*").alias("shown"), F.max("feature_no").alias("last"), F.max(F.length(F.col("properties")["name"])).cast("long").alias("widest"))
