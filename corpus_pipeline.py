@@ -6,6 +6,7 @@ next one's docs. All but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrafold.llm.common import table, written
 from terrafold.llm.jaccard import jaccard_join
@@ -22,11 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one whose doc_id names the group; documents without an id stay."""
-    groups = jaccard_join(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of linked ones: that of the least doc_id. Documents without words are linked with nothing and stay.
+
+    A row is known by its id and text, so unlike texts of one doc_id, and rows without an id, are documents of their own."""
+    row = F.xxhash64("doc_id", "text").alias("_row")
+    said = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    told = docs.where(said)
+    groups = jaccard_join(told.select(row.alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    named = groups.join(told.select(row, "doc_id").distinct(), "_row")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = named.groupBy("component_id").agg(first.alias("_row")).select("_row")
+    out = told.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return out.select(*docs.columns).unionByName(docs.where(~said))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
