@@ -128,10 +128,25 @@ def city_file(code: Column, sensing: Column) -> Column:
     return F.format_string("%s_%s.tif", code, sensing)
 
 
+def with_suffix(name: Column, suffix: str) -> Column:
+    """A file name with its last suffix replaced, or with the suffix if it has none."""
+    return F.concat(F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", ""), F.lit(suffix))
+
+
+def _last_part(c: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(F.trim(c), r"^.*[/\\]", "")), F.lit(""))
+
+
 def result_name(c: Column, fallback: Column, suffix: str) -> Column:
-    """The last part of a wanted name, or the fallback, with the suffix."""
-    name = F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"^.*[/\\\\]", "")), F.lit("")), fallback)
-    return F.when(F.lower(name).endswith(suffix), name).otherwise(F.concat(name, F.lit(suffix)))
+    """The last part of a wanted name, or the fallback, with the suffix in place of its own."""
+    return with_suffix(F.coalesce(_last_part(c), fallback), suffix)
+
+
+def result_names(shp: Column, tif: Column) -> Column:
+    """struct(shp, tif, error) of two wanted names: a missing one takes the other's stem; without any there is an error."""
+    one, two = _last_part(F.coalesce(shp, F.lit(""))), _last_part(F.coalesce(tif, F.lit("")))
+    names = F.struct(with_suffix(F.coalesce(one, two), ".shp").alias("shp"), with_suffix(F.coalesce(two, one), ".tif").alias("tif"))
+    return F.struct(names["shp"].alias("shp"), names["tif"].alias("tif"), F.when(names["shp"].isNull(), "no name").alias("error"))
 
 
 def log_path(root: str, created_at: Column) -> Column:
@@ -146,9 +161,9 @@ def box_name(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
 
 def valid_range(start: Column, end: Column) -> Column:
-    """Both are yyyy-mm-dd dates, and the start isn't after the end."""
+    """Both have the form yyyy-mm-dd, and the start isn't after the end; days that no month has are taken as they are."""
     form = r"^\d{4}-\d{2}-\d{2}$"
-    return F.coalesce(start.rlike(form) & end.rlike(form) & (F.try_to_date(start) <= F.try_to_date(end)), F.lit(False))
+    return F.coalesce(start.rlike(form) & end.rlike(form) & (start <= end), F.lit(False))
 
 
 def hidden(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,15 @@ def first_bad(rows: DataFrame, by: str, n: int = 5) -> DataFrame:
 
 
 def with_city(counties: DataFrame, cities: DataFrame) -> DataFrame:
-    """Counties with the name of the city whose code theirs begins with; a county without one is left out."""
-    return counties.join(cities.select("city_code", "city_name"), "city_code")
+    """(county_code, county_name, city_name, error): counties with the name of the city whose code theirs begins with, one row a code.
+
+    A code that stands for several counties, or whose city has several names, has the least names and says so as
+    ``error``. A county without a city, and blank names and codes, are left out."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    named = cities.where(said("city_code") & said("city_name")).groupBy("city_code").agg(F.min(F.trim("city_name")).alias("city_name"), F.max(F.trim("city_name")).alias("_city"))
+    own = counties.where(said("county_code") & said("county_name")).groupBy("county_code", "city_code").agg(F.min(F.trim("county_name")).alias("county_name"), F.max(F.trim("county_name")).alias("_county"))
+    error = F.when(F.col("county_name") != F.col("_county"), F.concat_ws(" / ", "county_name", "_county")).when(F.col("city_name") != F.col("_city"), F.concat_ws(" / ", "city_name", "_city"))
+    return own.join(named, "city_code").select("county_code", "county_name", "city_name", error.alias("error"))
 
 
 def at_level(wanted: DataFrame, cities: DataFrame, counties: DataFrame) -> DataFrame:
@@ -103,6 +110,32 @@ def area_report(sums: DataFrame) -> DataFrame:
     return sums.select(text.alias("report"))
 
 
+def comparison_report(sums: DataFrame, samples: int = 8, foreground: int = 255, keep: Sequence[str] = ()) -> DataFrame:
+    """The report that compares a raster with its vectors, for each row of features, skipped, unique_m2 and raster_m2, with the columns to ``keep``.
+
+    The share is nan without a vector area; the line of skipped features is there only if some were."""
+    # The report's wording.
+    d = F.col("raster_m2") - F.col("unique_m2")
+    share = F.when(F.col("unique_m2") > 0, F.format_string("%.6f", F.bround(F.abs(d) / F.col("unique_m2") * 100, 6))).otherwise("nan")
+    m2 = lambda c: F.format_string("%,.3f m²", F.bround(c, 3))  # noqa: E731  half-way values go to the even digit
+    lines = [
+        F.lit("中稻 0809 地块掩膜面积对比报告"),
+        F.lit("=" * 42),
+        F.format_string("合并面要素数: %,d", "features"),
+        F.when(F.col("skipped") > 0, F.format_string("跳过的空/非面要素数: %,d", "skipped")),
+        F.lit(f"栅格化规则: {samples}×{samples} 超采样，按覆盖率排序并约束总面积"),
+        F.lit("标称分辨率: 10 m × 10 m"),
+        F.lit(""),
+        F.concat(F.lit("矢量净覆盖面积（重叠只算一次）: "), m2(F.col("unique_m2"))),
+        F.concat(F.lit(f"TIFF 值为 {foreground} 区域面积: "), m2(F.col("raster_m2"))),
+        F.concat(F.lit("面积差（TIFF - 矢量）: "), m2(d)),
+        F.concat(F.lit("差异比例（相对矢量）: "), share, F.lit("%")),
+        F.lit(""),
+        F.lit("说明：面积均在内存中转换到 Albers 等面积投影计算；矢量重叠部分只算一次。"),
+    ]
+    return sums.select(*keep, F.concat(F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n"), F.lit("\n")).alias("report"))
+
+
 def shown_in_tree(nodes: DataFrame) -> DataFrame:
     """Nodes (parent, name, is_file) with their place in the parent: folders first, then by name in any case."""
     w = Window.partitionBy("parent").orderBy("is_file", F.lower("name"), "name")

@@ -111,9 +111,9 @@ def folder_sizes(spark, d):
     return reports.folder_sizes(view(spark, d, "files").select("path", (F.col("length") * 1000000).alias("length")))
 
 
-@query("SELECT p_brand AS category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS tools FROM part WHERE p_size < 5 GROUP BY 1")
+@query("SELECT p_brand AS category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS tools FROM part GROUP BY 1")
 def tools_by_category(spark, d):
-    p = _read(spark, d, "part").where("p_size < 5")
+    p = _read(spark, d, "part")
     keys = F.array_sort(F.collect_list("p_partkey"))
     return p.groupBy(F.col("p_brand").alias("category")).agg(F.array_join(keys.cast("array<string>"), ",").alias("tools"))
 

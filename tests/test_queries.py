@@ -7,6 +7,7 @@ import pytest
 
 import terrafold.plans.polygons  # noqa: F401
 import terrafold.plans.reports  # noqa: F401
+import terrafold.plans.rules  # noqa: F401
 import terrafold.plans.warps  # noqa: F401
 from terrafold.plans.queries import ORACLE, QUERIES
 
