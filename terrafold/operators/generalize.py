@@ -6,6 +6,7 @@ that would cross others are simplified less, round by round, until none does."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,53 +24,59 @@ RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", Do
 ROUNDS = 4
 
 
-def chain(points: np.ndarray) -> np.ndarray:
-    """The corners of the convex hull counter-clockwise (monotone chain); points on its sides and repeats are no corners."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
-    rows = points.tolist()
+class Chain:
+    """The convex hull of points that come in order (monotone chain): only corners so far are held."""
 
-    def half(rows: list) -> list:
-        out: list = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
+    def __init__(self) -> None:
+        self.lower: list[tuple] = []
+        self.upper: list[tuple] = []
 
-    return np.array(half(rows) + half(rows[::-1]))
+    def add(self, p: tuple) -> None:
+        for half, side in ((self.lower, 1), (self.upper, -1)):
+            if half and half[-1] == p:
+                return
+            while len(half) > 1 and side * ((half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0])) <= 0:
+                half.pop()
+            half.append(p)
+
+    def corners(self) -> list[tuple]:
+        """Counter-clockwise from the leftmost; points on the hull's sides and repeats are no corners."""
+        return self.lower[:-1] + self.upper[:0:-1] if len(self.lower) > 1 else self.lower
+
+
+def _hulls_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, x, y, place) of the hulls of rows (name, x, y) that are sorted by all three."""
+    schema = pa.schema([("name", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("place", pa.int64())])
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    out: list[tuple] = []
+    for name, points in groupby(rows, key=lambda row: row[0]):
+        hull = Chain()
+        for _, x, y in points:
+            hull.add((x, y))
+        out += [(name, *p, k) for k, p in enumerate(hull.corners())]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def hulls(points: DataFrame, key: str) -> DataFrame:
     """(key, ring): the convex hull of each key's points (key, x, y), closed, counter-clockwise, from the leftmost corner.
 
-    Each batch of rows gives hulls of its own, these are merged in parts and then by key: hulls of hulls, so no task
-    holds a key's points. Points with a null or non-finite coordinate are left out. A key whose points are in line has
+    A key's points are dealt out in 32 parts, each has a hull of its own, and these are merged: hulls of hulls, found in
+    streams of sorted points, so no task holds a key's points. Points with a null or non-finite coordinate are left out. A key whose points are in line has
     the two ends (or the one point) instead of a ring; null keys are a key."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     rows = points.select(F.col(key).cast("string").alias("_text"), F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(ok)
     named = rows.select(F.coalesce(F.concat(F.lit("="), "_text"), F.lit("null")).alias("name"), "x", "y")
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, codes = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            xy = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)
-            order = np.argsort(codes, kind="stable")
-            parts = np.split(xy[order], np.searchsorted(codes[order], np.arange(1, len(names))))
-            for name, part in zip(names, parts, strict=True):
-                h = chain(part)
-                if len(h):
-                    yield pa.RecordBatch.from_pydict({"name": [name] * len(h), "x": h[:, 0], "y": h[:, 1]})
-
-    def merge(t: pa.Table) -> pa.Table:
-        h = chain(np.stack([t["x"].to_numpy(), t["y"].to_numpy()], axis=1))
-        return pa.table({"name": [t["name"][0].as_py()] * len(h), "x": h[:, 0], "y": h[:, 1], "place": np.arange(len(h))})
-
-    schema = "name string, x double, y double"
-    some = named.mapInArrow(partial, schema).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(32)))
-    parts = some.groupBy("name", "part").applyInArrow(merge, schema + ", place long").select("name", "x", "y")
-    whole = parts.groupBy("name").applyInArrow(merge, schema + ", place long")
+    schema = "name string, x double, y double, place long"
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(32)).cast("int")).repartition("name", "part").sortWithinPartitions("name", "part", "x", "y")
+    # a name's parts follow one another in a task and are told apart by the name
+    some = dealt.select(F.concat_ws("|", "part", "name").alias("name"), "x", "y").mapInArrow(_hulls_of, schema)
+    parts = some.select(F.regexp_replace("name", r"^\d+\|", "").alias("name"), "x", "y")
+    whole = parts.repartition("name").sortWithinPartitions("name", "x", "y").mapInArrow(_hulls_of, schema)
     ring = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct("x", "y").alias("p")))), lambda v: v["p"])
     out = whole.groupBy("name").agg(ring.alias("ring"))
     out = out.withColumn("ring", F.when(F.size("ring") > 2, F.concat("ring", F.slice("ring", 1, 1))).otherwise(F.col("ring")))

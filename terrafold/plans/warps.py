@@ -12,7 +12,7 @@ from terrafold.plans.queries import query
 
 ALBERS = Albers()
 SOURCE = Grid(110.0, 42.0, 0.0005, 128, 1200)
-TARGET = Grid(412000.0, 4343000.0, 60.0, 240, 1300)
+TARGET = Grid(408000.0, 4536300.0, 60.0, 160, 1300)
 FRAME = warp.Frame(SOURCE, ALBERS.forward, ALBERS.inverse)
 
 
