@@ -382,6 +382,17 @@ def test_empty_tables(spark, empty):
         assert df.collect() == [], k
 
 
+def test_nearest_awkward(spark):
+    """Nulls, repeats, ties, other dimensions and clashing columns; an empty table gives one."""
+    from terrafold.llm.neighbours import nearest
+
+    schema = "vec_id long, embedding array<float>, score string, rank int, v string, dim int"
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (None, [9.0, 9.0]), (7, [1.0, 0.0, 5.0]), (20, []), (40, [0.5, 0.5])]
+    got = nearest(spark.createDataFrame([(*r, "a", 1, "b", 2) for r in rows], schema)).collect()
+    assert sorted((g.query_id, g.rank, g.vec_id, g.score) for g in got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 40, 0.5), (40, 1, 0, 0.5), (40, 2, 1, 0.5), (40, 3, 2, 0.5)]
+    assert nearest(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_registered():
     import __spark_entry__ as e
     import corpus_pipeline
