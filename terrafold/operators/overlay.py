@@ -265,14 +265,20 @@ def dissolved(shapes: DataFrame, keys: list[str], tile: float, rule: str = "unio
     (slivers of rounding) are left out. Rings may touch themselves or others in points, but never cross. Shapes that
     are null or have no ring of 3 points cover nothing; repeated shapes count once."""
     own, shapes = _named(shapes, keys)
-    strips = written(trapezoids(in_tiles(shapes, own, tile, most), own, rule), "strips")
+    rings = _rings(in_tiles(shapes, own, tile, most), own, rule, least_m2)
+    return rings.select(*(F.col(n).alias(k) for n, k in zip(own, keys, strict=True)), "ring_id", "hole", "area", "ring")
+
+
+def _rings(pieces: DataFrame, own: list[str], rule: str, least_m2: float) -> DataFrame:
+    """(own keys, ring_id, hole, area, ring) around what the rule covers of pieces cut at tiles."""
+    strips = written(trapezoids(pieces, own, rule), "strips")
     segments = written(outline(strips, own).withColumn("eid", F.monotonically_increasing_id()), "outline")
     placed = segments.join(_named_rings(_followers(segments, own)), "eid")
     point = F.struct("place", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"))
     rings = placed.groupBy(*own, F.col("ring").alias("ring_id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("ring"))
     rings = rings.withColumn("area", G.ring_area(F.col("ring"))).where(F.abs("area") >= least_m2)
     rings = rings.withColumn("ring", _tidy(F.col("ring"))).withColumn("ring", F.concat("ring", F.slice("ring", 1, 1)))
-    return rings.select(*(F.col(n).alias(k) for n, k in zip(own, keys, strict=True)), "ring_id", (F.col("area") < 0).alias("hole"), "area", "ring")
+    return rings.select(*own, "ring_id", (F.col("area") < 0).alias("hole"), "area", "ring")
 
 
 def repaired(shapes: DataFrame, key: str, tile: float) -> DataFrame:
@@ -302,8 +308,8 @@ def self_crossing(shapes: DataFrame, key: str) -> DataFrame:
     return pairs.where(crossed).groupBy(key).agg(F.count("*").alias("crossings"))
 
 
-def shared_area(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, area) for the pairs of shapes that share area. Both tables: (key, rings), a row for each key.
+def _met(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_key: str) -> DataFrame:
+    """Pieces of the pairs (_left, _right) of shapes that meet in a tile.
 
     Both are cut at tiles first, so a large shape is met piece by piece: no pair holds more of it than a tile."""
     cut = lambda df, key, side: in_tiles(df.select(F.col(key).alias("gid"), F.lit(side).alias("side"), "rings"), [], tile, None)
@@ -312,11 +318,26 @@ def shared_area(left: DataFrame, right: DataFrame, tile: float, left_key: str, r
     pairs = pairs.withColumns({"_a": G.bounds(F.col("ra")), "_b": G.bounds(F.col("rb"))}).where("_a.minx < _b.maxx and _b.minx < _a.maxx and _a.miny < _b.maxy and _b.miny < _a.maxy")
     rows = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ra").alias("rings")), F.struct(F.lit(1).alias("side"), F.col("rb").alias("rings"))))
     pieces = pairs.select("_left", "_right", "size", "tx", "ty", F.col("tx").alias("base_x"), F.col("ty").alias("base_y"), F.lit(0).alias("gid"), rows.alias("r"))
-    pieces = pieces.select(*(c for c in pieces.columns if c != "r"), "r.*")
+    return pieces.select(*(c for c in pieces.columns if c != "r"), "r.*")
+
+
+def shared_area(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_key: str) -> DataFrame:
+    """(left_key, right_key, area) for the pairs of shapes that share area. Both tables: (key, rings), a row for each key."""
+    pieces = _met(left, right, tile, left_key, right_key)
     areas = trapezoids(pieces, ["_left", "_right"], "intersection").groupBy("_left", "_right").agg(F.sum(F.expr(AREA)).alias("area"))
     return areas.where("area > 0").toDF(left_key, right_key, "area")
 
 
+def clipped(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_key: str, least_m2: float = 1e-6) -> DataFrame:
+    """(left_key, right_key, area, rings) for the same pairs: what of each left shape lies in each right one, as rings.
+
+    Outer rings come first; a shape that falls apart has several. Pairs that share less than ``least_m2`` have no row."""
+    rings = _rings(_met(left, right, tile, left_key, right_key), ["_left", "_right"], "intersection", least_m2)
+    ordered = F.array_sort(F.collect_list(F.struct("hole", "ring_id", "ring")))
+    out = rings.groupBy("_left", "_right").agg(F.sum("area").alias("area"), F.transform(ordered, lambda r: r["ring"]).alias("rings"))
+    return out.toDF(left_key, right_key, "area", "rings")
+
+
 def coverage(footprints: DataFrame, zones: DataFrame, key: str, tile: float) -> DataFrame:
     """(key, percent, missing_m2) of each zone (key, rings): how much of it the union of the footprints (rings) covers.
 

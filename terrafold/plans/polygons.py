@@ -73,6 +73,14 @@ def shape_area_by_zone(spark, d):
     return pairs.groupBy("city_code", "class_code").agg(F.round(F.sum("area"), 4).alias("area_m2"), F.count("*").alias("hits"))
 
 
+@query(f"""{_BOTH} SELECT city_code, round(sum(b - a) * 0.5, 2) AS area_m2, count(DISTINCT parcel_id) AS shapes FROM met GROUP BY 1""", "shape_points", "zone_points")
+def shapes_clipped_by_zone(spark, d):
+    """Each zone gets the parts of the shapes that lie in it, as rings."""
+    parts = overlay.clipped(shapes(spark, d), zones(spark, d), 250.0, "parcel_id", "city_code")
+    own = F.aggregate(F.transform("rings", G.ring_area), F.lit(0.0), lambda s, a: s + a)
+    return parts.groupBy("city_code").agg(F.round(F.sum(own), 2).alias("area_m2"), F.count("*").alias("shapes"))
+
+
 @query(f"""{_BOTH}, u AS ({_united("met", "city_code")}), z AS (SELECT city_code, sum(b - a) * 0.5 AS whole FROM zspans GROUP BY 1)
 SELECT city_code, round(least(100, greatest(0, area / whole * 100)), 4) AS percent, round(whole - area, 2) AS missing_m2 FROM u JOIN z USING (city_code)""", "shape_points", "zone_points")
 def zone_coverage(spark, d):

@@ -99,6 +99,12 @@ def test_shared_and_covered(spark):
     b = spark.createDataFrame([("big", [moved(BOX, -100, -100, 60)]), ("hole", [moved(BOX, 0, 0, 5), moved(BOX, 3, 1)]), ("far", [moved(BOX, 500, 500)]), ("none", None)], "b string, rings array<array<struct<x:double,y:double>>>")
     got = {(r.a, r.b): r.area for r in overlay.shared_area(a, b, 10.0, "a", "b").collect()}
     assert got == {**{(k, "big"): 16 for k in range(5)}, (0, "hole"): 13, (2, "hole"): 13, (3, "hole"): 16, (4, "hole"): 16}
+    parts = {(r.a, r.b): r for r in overlay.clipped(a, b, 10.0, "a", "b").collect()}
+    assert {k: r.area for k, r in parts.items()} == got and {len(r.rings) for r in parts.values()} <= {1, 2}
+    for k in range(5):
+        assert sorted((p.x, p.y) for p in parts[k, "big"].rings[0][:-1]) == sorted(moved(BOX, 3.0 * k, k))
+    for x, y in ((3.5, 1.5), (2.5, 3.5), (3.5, 4.9), (0.5, 0.5)):
+        assert inside([[(p.x, p.y) for p in r[:-1]] for r in parts[0, "hole"].rings], x, y) == (x < 4 and y < 4 and not (x > 3 and 1 < y < 5))
     cover = {r.b: (round(r.percent, 9), round(r.missing_m2, 6)) for r in overlay.coverage(a, b, "b", 7.0).collect()}
     union = 5 * 16 - 4 * 3
     assert cover == {"big": (round(union / 57600 * 100, 9), 57600 - union), "hole": (round((union - 16) / 384 * 100, 9), 384 - union + 16), "far": (0, 16)}
