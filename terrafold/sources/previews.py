@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import mimetypes
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 
 # How much a preview shows, and what counts as text.
 ROWS, CHARACTERS, BYTES, HEAD = 500, 300_000, 2 * 1024 * 1024, 8192
-TEXTS = ("txt", "md", "py", "json", "yaml", "yml", "toml", "ini", "cfg", "csv", "log", "sh", "bat", "ps1", "html", "css", "js", "ts", "tsx", "jsx", "xml", "sql", "rs", "go", "java", "c", "h", "cpp")
+KNOWN = ".py .js .jsx .ts .tsx .html .css .scss .json .md .txt .toml .yaml .yml .xml .sh .ini .cfg .conf .lock .csv .gitignore".split()
+#: These, and what else is a text by its usual type.
+TEXTS = sorted({*KNOWN, *(s for s, kind in mimetypes.MimeTypes().types_map[True].items() if kind.startswith("text/"))})
 
 _TABLE = StructType([StructField("headers", ArrayType(StringType())), StructField("rows", ArrayType(ArrayType(StringType()))), StructField("truncated", BooleanType())])
 _TEXT = StructType([StructField("content", StringType()), StructField("truncated", BooleanType())])
@@ -66,7 +69,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _known(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"([^.]*)$", 1)).isin(*TEXTS)
+    return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*TEXTS)
 
 
 def texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -28,11 +28,11 @@ def test_documents(spark, tmp_path):
 
 
 def test_texts(spark, tmp_path):
-    files = {"a.py": b"x = 1\xff", "b.txt": b"ab\0c", "c.txt": b"a" * 9000 + b"\0", "d.tif": b"text", "e.log": b"x" * (2 * 1024 * 1024 + 1), "f.md": b"\x10\x01\x20" * 50, "g.txt": b"\xa0\x0b" * 30}
+    files = {"a.py": b"x = 1\xff", "b.txt": b"ab\0c", "c.txt": b"a" * 9000 + b"\0", "d.tif": b"text", "e.log": b"x" * (2 * 1024 * 1024 + 1), "f.md": b"\x10\x01\x20" * 50, "g.txt": b"\xa0\x0b" * 30, "txt": b"no suffix", "h.LOCK": b"x", "i.tsv": b"a\tb", "j.dat": b"x"}
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     got = {r.name: r for r in P.texts(spark, str(tmp_path)).collect()}
-    assert {n for n, r in got.items() if r.previewable} == {"a.py", "c.txt", "f.md", "g.txt"}
+    assert {n for n, r in got.items() if r.previewable} == {"a.py", "c.txt", "f.md", "g.txt", "h.LOCK", "i.tsv"}
     assert got["a.py"].content == "x = 1\ufffd" and got["b.txt"].content is None and got["e.log"].size == 2 * 1024 * 1024 + 1
 
 
