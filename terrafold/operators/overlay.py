@@ -204,24 +204,22 @@ def _followers(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _named_rings(links: DataFrame) -> DataFrame:
-    """(eid, ring, place) for the links (eid, next) of closed rings: the ring's least eid, and steps from there.
+    """(eid, ring, place) for the links (eid, next) of closed rings: the ring's least eid, and places that grow along it.
 
-    Each round doubles how far a segment sees along its ring, so rounds grow with the logarithm of the longest ring."""
-    steps = written(links.select("eid", F.col("next").alias("to"), F.least("eid", "next").alias("ring")), "rings")
+    Each round doubles how far a segment sees along its ring, so rounds grow with the logarithm of the longest ring. It
+    keeps the least eid seen and how many steps away that is."""
+    found = F.col("next") < F.col("eid")
+    steps = written(links.select("eid", F.col("next").alias("to"), F.least("eid", "next").alias("ring"), found.cast("long").alias("away")), "rings")
+    far = 2  # segments in sight, the own one included
     while True:
-        ahead = steps.select(F.col("eid").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
-        new = steps.join(ahead, "to").select("eid", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved"))
-        steps = written(new, "rings")
+        # ``to`` is the last one in sight; the next stretch begins there
+        ahead = steps.select(F.col("eid").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"), F.col("away").alias("away2"))
+        less = F.col("ring2") < F.col("ring")
+        new = steps.join(ahead, "to").select("eid", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), F.when(less, F.col("away2") + (far - 1)).otherwise(F.col("away")).alias("away"), less.alias("moved"))
+        steps, far = written(new, "rings"), 2 * far - 1
         if not steps.where("moved").limit(1).count():
-            break
+            return steps.select("eid", "ring", (-F.col("away")).alias("place"))
         steps = steps.drop("moved")
-    # steps back from a segment to the ring's first: the way from the first is what the first's ring has less of
-    rings = steps.select("eid", "ring")
-    left = written(links.join(rings, "eid").select("eid", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("long").alias("steps"), "ring"), "places")
-    while left.where("to is not null").limit(1).count():
-        ahead = left.select(F.col("eid").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
-        left = written(left.join(ahead, "to", "left").select("eid", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), "ring"), "places")
-    return left.select("eid", "ring", (-F.col("steps")).alias("place"))
 
 
 def _tidy(points: Column) -> Column:
