@@ -343,12 +343,11 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, r
 
         return source.mapInArrow(run, source.schema).drop("key")
 
-    def slots(ends: DataFrame) -> tuple[np.ndarray, int]:
-        high = slot_bits(ends.count())
-        return slot_filter(ends.select(F.xxhash64("end").alias("key")), high), high
+    def slots(pairs: DataFrame, *ends: str) -> tuple[np.ndarray, int]:
+        high = slot_bits(len(ends) * pairs.count())
+        return slot_filter(pairs.select(F.explode(F.array(*ends)).alias("end")).select(F.xxhash64("end").alias("key")), high), high
 
-    ends = may.select(F.explode(F.array("a", "b")).alias("end"))
-    fine = wanted_rows(reps.select("cls", "rep", "n", "fine", F.xxhash64("cls").alias("key")), *slots(ends))
+    fine = wanted_rows(reps.select("cls", "rep", "n", "fine", F.xxhash64("cls").alias("key")), *slots(may, "a", "b"))
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,9 +357,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, r
 
     both = may.join(fine.toDF("a", "src", "na", "x"), "a").join(fine.toDF("b", "dst", "nb", "y"), "b")
     may = written(both.select("a", "src", "b", "dst", "x", "y", "na", "nb").mapInArrow(finer, "a long, src long, b long, dst long"), "near")
-    ends = may.select(F.explode(F.array("src", "dst")).alias("end"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text")).where("doc is not null").withColumn("key", F.xxhash64("doc"))
-    texts = wanted_rows(source, *slots(ends))
+    texts = wanted_rows(source, *slots(may, "src", "dst"))
     if repeated:
         texts = texts.distinct()
 
