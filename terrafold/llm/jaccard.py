@@ -21,10 +21,11 @@ from .common import components, in_slots, partitions, slot_bits, slot_filter, sm
 from .shingles import K, each, mix
 
 RARITY_BITS = 22  # the table of how often shingles repeat has as many slots as these high bits tell apart
-HELD = 1 << 20  # shingles that a task counts at once
+HELD = 1 << 18  # shingles that a task counts at once, and pairs that it holds
 BITS = 512
 TILE = 4096
 PAIRS = 1 << 15  # pairs whose bitmaps are held against each other at once
+AT_ONCE = 1 << 15  # classes of tiles that are read at once
 
 
 def _needed(n, percent: int):
@@ -107,32 +108,29 @@ def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
     ``more`` says that the classes around these sizes take several tiles. Shingles that only one set puts forward
     are kept out of the shuffle by a filter made from exact counts (it lets a few through, which do no harm)."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            found = [f for _, _, f in _prefixes(b, rare, percent, done)]
+            found = list(_prefixes(b, rare, percent, done))
             if found:
-                key, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
+                cls, n, toks = zip(*found, strict=True)
+                offsets = pa.array(np.cumsum([0, *map(len, toks)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(toks).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int32()), lists], ["cls", "n", "toks"])
 
-    texts = docs.select("text")
-    twice = texts.mapInArrow(keys, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    first = written(docs.select("text").mapInArrow(firsts, "cls long, n int, toks array<long>"), "prefixes")
+    twice = first.select(F.explode("toks").alias("key")).groupBy("key").count().where("count > 1")
     twice = written(twice.select("key"), "keys")
     high = slot_bits(twice.count())
     wanted = slot_filter(twice, high)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for b in batches:
-            toks, cls, ns, poss = [], [], [], []
-            for c, n, first in _prefixes(b, rare, percent, done):
-                pos = np.flatnonzero(in_slots(wanted, first, high))
-                toks.append(first[pos].view(np.int64))
-                cls.append(np.full(len(pos), c, np.int64))
-                ns.append(np.full(len(pos), n, np.int32))
-                poss.append(pos.astype(np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, cls, ns, poss)], ["tok", "cls", "n", "pos"])
+            row, (tok,) = _lists(b, range(2, 3))
+            pos = np.arange(len(row)) - np.searchsorted(row, row)
+            hit = in_slots(wanted, tok.view(np.uint64), high)
+            row, cls, n = row[hit], b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(tok[hit]), pa.array(cls[row]), pa.array(n[row]), pa.array(pos[hit].astype(np.int32))], ["tok", "cls", "n", "pos"])
 
     schema = pa.schema([("tok", pa.int64()), ("part", pa.int32()), ("more", pa.bool_()), *((k, pa.list_(t)) for k, t in (("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())))])
 
@@ -189,7 +187,7 @@ def tiles(docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
             if out:
                 yield batch(out)
 
-    found = texts.mapInArrow(rows, "tok long, cls long, n int, pos int")
+    found = first.mapInArrow(rows, "tok long, cls long, n int, pos int")
     found = found.repartition(partitions(docs.sparkSession), "tok").sortWithinPartitions("tok", "n", "cls")
     return found.mapInArrow(gather, "tok long, part int, more boolean, cls array<long>, n array<int>, pos array<int>")
 
@@ -204,13 +202,24 @@ def _lists(batch: pa.RecordBatch, columns: range) -> tuple[np.ndarray, list[np.n
     return np.repeat(np.arange(len(size)), size), [np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) if pa.types.is_binary(v.type) else v.to_numpy(zero_copy_only=False).astype(np.int64) for v in values]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, so few at once that their lists hold AT_ONCE values or are one row's."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(upto):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def few_pairs(tiled: DataFrame, percent: int) -> DataFrame:
     """Each class with one other: of the classes of least hash in its tiles and of a size that may match, the least.
 
     So the pairs are as many as the classes at most, and the classes of one group mostly choose the same one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 0):
             row, (c, m) = _lists(batch, range(2))
             if len(c):
                 rank = mix(c.view(np.uint64))
@@ -244,6 +253,15 @@ def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) ->
     """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
 
     With ``best``, only the one of each class whose bound is the highest, so that a round has few pairs."""
+    found = proposals(tiled, parts, percent, best)
+    if not best:
+        return found.distinct()
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def proposals(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """What each task finds of these pairs, brought together within the task: (a, b), with ``best`` a row for each class and its likeness."""
     told = _told(tiled, parts, "bits").where("more or low != high")
     told = written(told.select("tok", "part", "more", "low", "high", *(F.col("xs")[k].alias(k) for k in _LISTS)), "told")
     none = [F.lit(None).cast(told.schema[k].dataType).alias(f"{k}2") for k in _LISTS]
@@ -255,14 +273,38 @@ def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) ->
     two = split.join(other, "tok").where(near & apart).select(*one.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for same in (True, False):
-                part = batch.filter(pc.equal(pc.is_null(batch.column(5)), same))
-                if part.num_rows:
-                    row, mine = _lists(part, range(5))
-                    yield from met(row, mine, *((row, mine) if same else _lists(part, range(5, 10))), same)
-
-    def met(row: np.ndarray, mine: list, row2: np.ndarray, theirs: list, same: bool) -> Iterator[pa.RecordBatch]:
+        """What a task has found is brought together before it leaves, so a class that stands in many tiles or is held against many others is one row."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = kept = 0
+
+        def together() -> tuple[np.ndarray, ...]:
+            a, b, *like = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((b, -like[0], a) if best else (b, a))
+            a, b, *like = (x[by] for x in (a, b, *like))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (False if best else b[1:] != b[:-1])
+            return tuple(x[new] for x in (a, b, *like))
+
+        names = ["a", "b", "like"] if best else ["a", "b"]
+        for found in (f for batch in batches for f in pairs_of(batch)):
+            held.append(found)
+            size += len(found[0])
+            if size >= kept + HELD:
+                held = [together()]
+                size = kept = len(held[0][0])
+                if kept >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names)
+                    size = kept = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in together()], names)
+
+    def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for same in (True, False):
+            for part in _parts([batch.filter(pc.equal(pc.is_null(batch.column(5)), same))], 0):
+                row, mine = _lists(part, range(5))
+                yield from met(row, mine, *((row, mine) if same else _lists(part, range(5, 10))), same)
+
+    def met(row: np.ndarray, mine: list, row2: np.ndarray, theirs: list, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
         c, n, pos, comp, x = mine
         c2, n2, pos2, comp2, y = theirs
         key = row2 << 32 | n2  # rows are in order of size
@@ -284,22 +326,14 @@ def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) ->
             most = np.minimum(most, _bound(x[i], y[j], n[i], n2[j]))
             ok = most * (100 + percent) >= percent * (n[i] + n2[j])
             i, j, most = i[ok], j[ok], most[ok]
-            if best:
+            if best and len(i):
                 like = most / (n[i] + n2[j] - most)
-                a, b, like = np.concatenate([c[i], c2[j]]), np.concatenate([c2[j], c[i]]), np.concatenate([like, like])
-                by = np.lexsort((b, -like, a))
-                by = by[np.concatenate([[True], a[by][1:] != a[by][:-1]])] if len(by) else by
-                yield pa.RecordBatch.from_arrays([pa.array(a[by]), pa.array(b[by]), pa.array(like[by])], ["a", "b", "like"])
+                yield np.concatenate([c[i], c2[j]]), np.concatenate([c2[j], c[i]]), np.concatenate([like, like])
             elif len(i):
-                both = np.unique(np.stack([np.minimum(c[i], c2[j]), np.maximum(c[i], c2[j])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                yield np.minimum(c[i], c2[j]), np.maximum(c[i], c2[j])
             at = end
 
-    found = one.unionByName(two)
-    if not best:
-        return found.mapInArrow(run, _PAIR).distinct()
-    found = found.mapInArrow(run, f"{_PAIR}, like double").groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return one.unionByName(two).mapInArrow(run, f"{_PAIR}, like double" if best else _PAIR)
 
 
 def _bound(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
@@ -388,7 +422,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable. Null and empty texts have no shingles and link with
     nothing, so they keep their own id. Rows that share a doc_id count as linked. Rows without a doc_id
     link with nothing and get a null component_id. Other columns are ignored; an empty table gives one."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="8m")
     first = written(classes(docs), "classes")
     members = first.where("slot is null").select("doc_id", "n", "cls", "bits", "fine")
     rare = np.zeros(1 << RARITY_BITS, np.uint8)

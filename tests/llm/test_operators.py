@@ -327,6 +327,20 @@ def test_jaccard(docs, rows, tile, monkeypatch):
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def test_jaccard_proposals(spark, monkeypatch):
+    """A class is proposed once by a task, however many it is held against at a time: rows don't grow with the square of a tile."""
+    from terrafold.llm import jaccard as J
+
+    monkeypatch.setattr(J, "PAIRS", 16)
+    n, bits = 60, J.bitmap(np.arange(100, dtype=np.uint64), J.BITS)
+    ids = list(range(1, n + 1))
+    tiled = spark.createDataFrame([(7, 0, False, ids, [100] * n, [0] * n)], "tok long, part int, more boolean, cls array<long>, n array<int>, pos array<int>")
+    parts = spark.createDataFrame([(i, bits, i) for i in ids], "cls long, bits binary, comp long")
+    found = J.proposals(tiled, parts, 80, True).collect()
+    assert sorted(r.a for r in found) == ids
+    assert J.proposals(tiled, parts, 80, False).count() == J.rest_pairs(tiled, parts, 80, False).count() == n * (n - 1) // 2
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(40)] + [(200, k) for k in range(201, 240)]
