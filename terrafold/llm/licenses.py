@@ -77,8 +77,8 @@ def scan(docs: DataFrame, rare_words: int = 8, least: float = 0.6) -> DataFrame:
 
     n_words counts the words of the text with A-Z lower-cased; n_base, first_word and last_word are the
     number and the ends of the base phrases' places; ``labels`` are the base labels and those of the
-    templates found; ``score`` is 1 for a base phrase, else the largest share (by IDF) of a template's words
-    in place, else 0. Of each template the ``rare_words`` mandatory words of highest IDF are looked up; ``least``
+    templates found; ``score`` is 1 for a base phrase, else the largest share (by IDF over all rows) of a
+    template's words in place, else 0. Of each template the ``rare_words`` mandatory words of highest IDF are looked up; ``least``
     is the share that makes a label. Null and empty texts have no words. Rows are independent: repeated rows
     and rows without an id are scanned each. Other columns are ignored."""
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in BASE for w in p.split()})
@@ -86,14 +86,15 @@ def scan(docs: DataFrame, rare_words: int = 8, least: float = 0.6) -> DataFrame:
     gate = sorted({max(p.split(), key=len) for p in [*BASE, *(p for _, _, ps in TEMPLATES for p in ps)]})
     lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
-    words = words.withColumn("gated", F.arrays_overlap("words", F.array(*map(F.lit, gate))))
     known = F.array(*map(F.lit, vocabulary))
+    words = words.withColumn("known", F.array_intersect("words", known))
+    words = words.withColumn("gated", F.arrays_overlap("known", F.array(*map(F.lit, gate))))
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     base = F.concat(*(_labelled(_places(F.col("words"), p), label) for p, label in BASE.items()))
-    seen = words.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"), F.when(F.col("gated"), base).alias("base"), F.when(F.col("gated"), hits).alias("hits"))
+    seen = words.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"), "known", F.when(F.col("gated"), base).alias("base"), F.when(F.col("gated"), hits).alias("hits"))
     seen = written(seen, "licences")
     rows = seen.count()
-    df = {r["w"]: r["count"] for r in seen.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count().collect()}  # at most the vocabulary
+    df = {r["w"]: r["count"] for r in seen.select(F.explode("known").alias("w")).groupBy("w").count().collect()}  # at most the vocabulary
     idf = {w: math.log((2 + rows) / (1 + df.get(w, 0))) for w in vocabulary}  # above 0 for a word of every row too
     postings = _postings(idf, rare_words)
     names = ("w", "template", "k", "looked_up", "must", "share")

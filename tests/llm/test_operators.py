@@ -271,6 +271,17 @@ def test_licenses_whole(spark):
     assert {(r.labels, r.score) for r in same} == {("isc", 1.0)}
 
 
+def test_licenses_counts(spark):
+    """How rare a word is follows from every row, those that can hold no licence too."""
+    from terrafold.llm.licenses import scan
+
+    must, more = "redistribution and use in source and binary forms", "with or without modification are permitted"
+    got = {r.doc_id: r for r in scan(frame(spark, [(0, must), *((k, more) for k in range(1, 51))])).collect()}
+    rare, common = 8 * np.log(53 / 2), 6 * np.log(53 / 51)
+    assert got[0].labels == "bsd" and abs(got[0].score - rare / (rare + common)) < 1e-5
+    assert {(got[k].labels, got[k].score) for k in range(1, 51)} == {("", 0.0)}
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
