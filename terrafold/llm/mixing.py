@@ -1,15 +1,14 @@
 """Mixing to target weights by soft membership.
 
 A classifier trained on labelled rows gives each document a posterior over domains. Nonnegative rates (the
-expected copies of a document) are fitted so that the expected tokens of each domain match their targets:
-least squares where no document may be lost, else projected gradient descent on the squared error. Each step
-is one distributed sum of a few numbers."""
+expected copies of a document) are fitted so that the expected tokens of each domain match their targets, by
+projected gradient descent on the squared error; no rate goes below its least (1 where no document may be lost,
+else 0). Each step is two distributed sums of a few numbers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +65,8 @@ class Mix:
     coef: np.ndarray
     center: np.ndarray
     scale: np.ndarray
-    steps: list[np.ndarray] = field(default_factory=list)
+    steps: list[np.ndarray] = field(default_factory=list)  # of each the step and the gradient, both by domain
+    least: float = 0.0
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.center) / self.scale) @ self.coef.T
@@ -75,10 +75,14 @@ class Mix:
 
     def rate(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
-        for s in self.steps:
-            r = np.maximum(0.0, r - p @ s)
+        for step, slope in self.steps:
+            r = np.where(self.bound(p, r, slope), r, np.maximum(self.least, r - p @ step))
         return r
 
+    def bound(self, p: np.ndarray, r: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """Where a rate is the least and would go down."""
+        return (r <= self.least) & (p @ slope >= 0)
+
 
 def _raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).fill_null(b"").to_pylist()
@@ -116,29 +120,16 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str, names: list[str]
     return Mix(names, coef, center, scale)
 
 
-def _nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The y >= 0 of least squared a y - b: the best of the free solutions on each set of places, as there are few."""
-    d = len(b)
-    best, least = np.zeros(d), float(np.linalg.norm(b))
-    for size in range(1, d + 1):
-        for at in combinations(range(d), size):
-            y = np.zeros(d)
-            y[list(at)] = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
-            miss = float(np.linalg.norm(a @ y - b))
-            if y.min() >= 0 and miss < least:
-                best, least = y, miss
-    return best
-
-
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "if(quality = 1, 'high', 'low')", total: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> Mix:
     """The mix for ``docs``: token totals of every row, steps until the largest relative miss is under ``tolerance``.
 
     ``total`` tokens are asked for, and rates are 0 or more. By default no rate is under 1, so documents are
     repeated and never lost: the total is the least for which rates of 1 + posterior . y with y >= 0 meet the
     targets, if that is at most the tokens divided by the least share. Else it is the least for which no domain
-    need shrink, and the y >= 0 of least squared miss is taken. All rates are 1 where all posteriors are alike."""
+    need shrink, and a miss remains. All rates are 1 where all posteriors are alike."""
     names = sorted(targets)
     mix = classifier(docs, labels, domain, names)
+    mix.least = 1.0 if total is None else 0.0
 
     def soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,42 +139,54 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     table = written(docs.select("text").mapInArrow(soft, "tokens long, p array<double>"), "posteriors")
     d = len(names)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, square = np.zeros(d), np.zeros((d, d))
-        for b in batches:
-            t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, d)
-            r = mix.rate(p)
-            have += (r * t) @ p
-            square += (p * (t * (r > 0))[:, None]).T @ p  # only rates above zero can still go down
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + d * d)), pa.array(np.concatenate([have, square.ravel()]))], ["k", "v"])
-
-    want, before = None, float("inf")
+    def summed(slope: np.ndarray | None) -> np.ndarray:
+        """The tokens of each domain; with the gradient, the second moments of the documents whose rates are free."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = np.zeros(d if slope is None else d * d)
+            for b in batches:
+                t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, d)
+                r = mix.rate(p)
+                v += (r * t) @ p if slope is None else ((p * (t * ~mix.bound(p, r, slope))[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], ["k", "v"])
+
+        rows = table.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+        return np.array([r["v"] for r in rows]) if rows else np.zeros(d if slope is None else d * d)
+
+    have = summed(None)
+    if have.sum() <= 0:
+        return mix
+    share = np.array([targets[n] for n in names]) / sum(targets.values())
+    if total is None:
+        square = summed(np.full(d, -1.0)).reshape(d, d)  # all rates may go up
+        if np.linalg.cond(square) >= 1e9:
+            return mix
+        each = np.linalg.solve(square, share)  # y = total * each - 1 meets the targets
+        total = float((1 / each).max()) if (each > 0).all() else float("inf")
+        if not total <= have.sum() / share[share > 0].min():
+            total = float((have[share > 0] / share[share > 0]).max())
+    want = share * total
+    miss = float(np.linalg.norm(have - want))
     for _ in range(rounds):
-        summed = table.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-        v = np.array([r["v"] for r in summed]) if summed else np.zeros(d + d * d)
-        have, square = v[:d], v[d:].reshape(d, d)
-        if have.sum() <= 0:
-            break
-        if want is None:
-            share = np.array([targets[n] for n in names]) / sum(targets.values())
-            if total is None:
-                if np.linalg.cond(square) < 1e9:
-                    each = np.linalg.solve(square, share)  # y = total * each - 1 meets the targets
-                    total = float((1 / each).max()) if (each > 0).all() else float("inf")
-                    if not total <= have.sum() / share[share > 0].min():
-                        total = float((have[share > 0] / share[share > 0]).max())
-                    mix.steps.append(-_nonnegative(square, share * total - have))
-                break
-            want = share * total
         if np.abs(have - want).max() <= tolerance * want.sum():
             break
-        miss = float(np.linalg.norm(have - want))
-        if mix.steps and miss > before:  # too far: half the last step
-            mix.steps[-1] = mix.steps[-1] / 2
-            continue
-        # the gradient step, scaled so that it would be exact without the bound at zero
+        slope = have - want
+        square = summed(slope).reshape(d, d)
+        # the gradient step, scaled so that it would be exact without the bound
+        step = np.linalg.pinv(square, rcond=1e-9, hermitian=True) @ slope
         before = miss
-        mix.steps.append(np.linalg.solve(square + 1e-9 * max(np.trace(square), 1.0) * np.eye(d), have - want))
+        for _ in range(rounds):
+            mix.steps.append(np.stack([step, slope]))
+            have = summed(None)
+            miss = float(np.linalg.norm(have - want))
+            if miss < before:
+                break
+            mix.steps.pop()  # too far: half the step
+            step = step / 2
+        else:
+            break
+        if before - miss <= tolerance * before:
+            break
     return mix
 
 

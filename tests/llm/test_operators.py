@@ -242,6 +242,27 @@ def test_toxicity(spark):
     assert sorted(x.doc_id for x in accepted(odd, none).collect()) == [1, 2]
 
 
+def test_mixing_descends(spark, monkeypatch):
+    """The rates come from projected gradient steps, and where the bound acts they are those of least squared miss."""
+    from terrafold.llm import mixing
+
+    class Told(mixing.Mix):
+        def posterior(self, x):
+            p = np.where(x[:, 10] > np.log1p(45) / 10, 0.7, 0.5)
+            return np.stack([p, 1 - p], axis=1)
+
+    monkeypatch.setattr(mixing, "classifier", lambda *a: Told(["high", "low"], *[np.zeros(1)] * 3))
+    docs = frame(spark, [(k, "w " * (50 if k % 5 else 40)) for k in range(100)])
+    got = mixing.mixture(docs, docs).collect()
+    have = np.array([sum(r.tokens * r[f"p_{n}"] for r in got) for n in ("high", "low")])
+    want = np.array([0.9, 0.1]) * (have / [0.9, 0.1]).max()
+    along = np.array([0.7, 0.3])  # only the sharper documents are repeated
+    best = have + along * max(0, (want - have) @ along) / (along @ along)
+    mixed = np.array([sum(r.tokens * r.rate * r[f"p_{n}"] for r in got) for n in ("high", "low")])
+    assert np.abs(mixed - best).max() < 1e-3 * best.sum()
+    assert mixing.fit(docs, docs).steps and {r.rate for r in got if r.tokens == 40} == {1.0}
+
+
 def test_licenses(spark):
     from terrafold.llm.licenses import BASE, scan
 
