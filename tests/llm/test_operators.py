@@ -102,6 +102,38 @@ def test_passages_each_with_each(spark):
             assert x.end_word - x.start_word >= 50 and abs(len(a & b) / len(a | b) - x.similarity) < 1e-9 and x.similarity >= 0.8
 
 
+def test_passages_brute(spark):
+    """Every two texts of which any passages of 50 words or more match are linked, beside decoys and in seeds of many texts too."""
+    from terrafold.llm.passages import GRAM, passages
+
+    r = random.Random(31)
+    say = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    docs, common = [], say(44)
+    for _ in range(20):
+        p, k = say(r.choice([46, 50, 54, 60])), r.randrange(3, 43)
+        q = r.choice([p, [*p[:k], *say(1), *p[k + 1 :]], [*p[:k], *p[k + 1 :]], [*p[:k], *say(1), *p[k:]]])
+        docs += [say(r.randrange(20)) + w + say(r.randrange(20)) for w in (p, q, p[:44])]
+    for _ in range(45):  # nothing but two pairs of these match: a seed of many texts
+        docs.append(common + say(20))
+    for k in (-1, -2):
+        docs.append(docs[k][:50] + say(15))
+    r.shuffle(docs)
+
+    def masks(w, number):
+        ids = [number.setdefault(tuple(w[i : i + GRAM]), len(number)) for i in range(len(w) - GRAM + 1)]
+        return [sum({1 << x for x in ids[a:e]}) for a in range(len(ids)) for e in range(a + 46, len(ids) + 1)]
+
+    number, meant = {}, set()
+    held = [masks(w, number) for w in docs]
+    full = [sum({1 << number[tuple(w[i : i + GRAM])] for i in range(len(w) - GRAM + 1)}) for w in docs]
+    for i in range(len(docs)):
+        for j in range(i):
+            if (full[i] & full[j]).bit_count() >= 36 and any(5 * (a & b).bit_count() >= 4 * (a | b).bit_count() for a in held[i] for b in held[j]):
+                meant.add((i, j))
+    found = passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()
+    assert len(meant) > 15 and {(x.doc_id, x.class_doc) for x in found if x.doc_id != x.class_doc} == meant
+
+
 def test_fingerprints(docs, rows):
     from terrafold.llm.fingerprints import fingerprints
 
