@@ -2,9 +2,10 @@
 
 Equal sets are one class. A class puts its rarest shingles (as many as a partner must share one of) into
 tiles; a tile holds classes that share a shingle, in order of set size, and ends where sizes leave a gap that no
-pair can bridge. First each class is held against one hub of its tiles, then twice against the one of another part
-that its bitmap says is nearest; what these link needs no more pairs. Then tiles propose every pair between parts
-not yet linked that may match by size, place and bitmap. Pairs pass a second bound from bitmaps as wide as their sets
+pair can bridge. First each class is held against one hub of its tiles, then against the one of another part that its
+bitmap says is nearest, then any two parts are held against each other by the few pairs that their bitmaps say are
+nearest; what these link needs no more pairs. Then tiles propose every other pair between parts not yet linked that
+may match by size, place and bitmap. Pairs pass a second bound from bitmaps as wide as their sets
 are large before their sorted sets are intersected."""
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BITS = 512
 TILE = 4096
 PAIRS = 1 << 15  # pairs whose bitmaps are held against each other at once
 AT_ONCE = 1 << 15  # classes of tiles that are read at once
+FEW = 8  # pairs by which two parts are held against each other first
 
 
 def _needed(n, percent: int):
@@ -249,21 +251,34 @@ def _told(tiled: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
 _LISTS = ("cls", "n", "pos", "comp", "bits")
 
 
-def rest_pairs(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> DataFrame:
+def rest_pairs(tiled: DataFrame, parts: DataFrame | None, percent: int, best: bool, few: int = 0) -> DataFrame:
     """Every pair of a tile, or of two tiles of one shingle, that lies in different parts and may match by size, position and bitmap.
 
-    With ``best``, only the one of each class whose bound is the highest, so that a round has few pairs."""
-    found = proposals(tiled, parts, percent, best)
-    if not best:
+    With ``best``, only the one of each class whose likeness by bitmap is the highest; with ``few``, only so many of any
+    two parts, the likest, so that a large part and those near it are linked before all their pairs are held.
+    Without ``parts``, tiled is what ``told_tiles`` made with them."""
+    found = proposals(tiled, parts, percent, best, few)
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not few:
         return found.distinct()
-    found = found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likest = F.slice(F.sort_array(F.collect_set(F.struct("like", "a", "b")), asc=False), 1, few)
+    return found.groupBy("p", "q").agg(likest.alias("x")).select(F.explode("x").alias("x")).select("x.a", "x.b")
 
 
-def proposals(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """What each task finds of these pairs, brought together within the task: (a, b), with ``best`` a row for each class and its likeness."""
+def told_tiles(tiled: DataFrame, parts: DataFrame) -> DataFrame:
+    """The tiles in which parts differ or which go on, with the part and bitmap of each class. Parts only grow, so the others propose no pair from now on."""
     told = _told(tiled, parts, "bits").where("more or low != high")
-    told = written(told.select("tok", "part", "more", "low", "high", *(F.col("xs")[k].alias(k) for k in _LISTS)), "told")
+    return written(told.select("tok", "part", "more", "low", "high", *(F.col("xs")[k].alias(k) for k in _LISTS)), "told")
+
+
+def proposals(tiled: DataFrame, parts: DataFrame | None, percent: int, best: bool, few: int = 0) -> DataFrame:
+    """What each task finds of these pairs, brought together within the task: (a, b); with ``best`` a row for each class and
+    its likeness, with ``few`` so many rows at most for two parts (p, q) and their likeness."""
+    told = tiled if parts is None else told_tiles(tiled, parts)
+    names = ["a", "b", "like"] if best else ["p", "q", "a", "b", "like"] if few else ["a", "b"]
+    of, most_rows = (1, 1) if best else (2, few)  # so many rows are kept for equal values of the first columns
     none = [F.lit(None).cast(told.schema[k].dataType).alias(f"{k}2") for k in _LISTS]
     one = told.where("low != high").select(*_LISTS, *none)
     split = told.where("more").withColumns({"least": F.element_at("n", 1), "most": F.element_at("n", -1)})
@@ -278,14 +293,20 @@ def proposals(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> D
         size = kept = 0
 
         def together() -> tuple[np.ndarray, ...]:
-            a, b, *like = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((b, -like[0], a) if best else (b, a))
-            a, b, *like = (x[by] for x in (a, b, *like))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (False if best else b[1:] != b[:-1])
-            return tuple(x[new] for x in (a, b, *like))
-
-        names = ["a", "b", "like"] if best else ["a", "b"]
+            found = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if best or few:  # the likest come first
+                by = np.lexsort((*found[-2:of - 1 : -1], -found[-1], *found[of - 1 :: -1]))
+            else:
+                by = np.lexsort(found[::-1])
+            found = [x[by] for x in found]
+            new = _changes(*found)  # the same pair from another tile
+            found = [x[new] for x in found]
+            if best or few:
+                first = np.flatnonzero(_changes(*found[:of]))
+                size = np.diff(np.append(first, len(found[0])))
+                found = [x[np.arange(len(x)) - np.repeat(first, size) < most_rows] for x in found]
+            return tuple(found)
+
         for found in (f for batch in batches for f in pairs_of(batch)):
             held.append(found)
             size += len(found[0])
@@ -322,18 +343,26 @@ def proposals(tiled: DataFrame, parts: DataFrame, percent: int, best: bool) -> D
             i, j = i[ok], j[ok]
             most = 1 + np.minimum(n[i] - pos[i] - 1, n2[j] - pos2[j] - 1)
             ok = most * (100 + percent) >= percent * (n[i] + n2[j])
-            i, j, most = i[ok], j[ok], most[ok]
-            most = np.minimum(most, _bound(x[i], y[j], n[i], n2[j]))
+            i, j = i[ok], j[ok]
+            most = _bound(x[i], y[j], n[i], n2[j])  # alike in all tiles of a pair, as places are not
             ok = most * (100 + percent) >= percent * (n[i] + n2[j])
             i, j, most = i[ok], j[ok], most[ok]
+            like = most / (n[i] + n2[j] - most)
             if best and len(i):
-                like = most / (n[i] + n2[j] - most)
                 yield np.concatenate([c[i], c2[j]]), np.concatenate([c2[j], c[i]]), np.concatenate([like, like])
             elif len(i):
-                yield np.minimum(c[i], c2[j]), np.maximum(c[i], c2[j])
+                pair = np.minimum(c[i], c2[j]), np.maximum(c[i], c2[j])
+                yield (np.minimum(comp[i], comp2[j]), np.maximum(comp[i], comp2[j]), *pair, like) if few else pair
             at = end
 
-    return one.unionByName(two).mapInArrow(run, f"{_PAIR}, like double" if best else _PAIR)
+    return one.unionByName(two).mapInArrow(run, ", ".join(f"{k} {'double' if k == 'like' else 'long'}" for k in names))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in some column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return new
 
 
 def _bound(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
@@ -437,10 +466,17 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     some = repeated.limit(1).count() > 0
     tiled = written(tiles(docs, rare, percent), "tiles")
     links = verified(few_pairs(tiled, percent), docs, reps, percent, some)
-    for best in (True, True, False):
+    tried = None
+    for best, few in ((True, 0), (False, FEW), (False, 0)):
         found = components(links)
         parts = reps.join(found, reps["rep"] == found["node"], "left").select("cls", "bits", F.xxhash64(F.coalesce("component", "rep")).alias("comp"))
-        links = links.union(verified(rest_pairs(tiled, parts, percent, best), docs, reps, percent, some))
+        tiled = told_tiles(tiled, parts)
+        pairs = rest_pairs(tiled, None, percent, best, few)
+        if few:
+            pairs = tried = written(pairs, "tried")
+        elif tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        links = links.union(verified(pairs, docs, reps, percent, some))
     if some:  # the other classes of a repeated id are linked with the class it stands for
         shared = named.join(reps.select("cls", "rep"), "cls").where("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
         links = links.union(shared.join(repeated, shared["src"] == repeated["doc_id"], "left_semi"))

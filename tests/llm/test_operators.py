@@ -405,6 +405,24 @@ def test_jaccard_proposals(spark, monkeypatch):
     assert J.proposals(tiled, parts, 80, False).count() == J.rest_pairs(tiled, parts, 80, False).count() == n * (n - 1) // 2
 
 
+def test_jaccard_few_of_two_parts(spark, monkeypatch):
+    """A large part and a small one are held against each other by the few likest pairs first, each once, however many tiles they share."""
+    from terrafold.llm import jaccard as J
+
+    monkeypatch.setattr(J, "PAIRS", 16)
+    n = 60
+    sets = {i: np.append(np.arange(100 - i % 7, dtype=np.uint64), np.arange(200, 200 + i % 7, dtype=np.uint64)) for i in range(1, n + 1)}
+    ids = list(sets)
+    tiled = spark.createDataFrame([(k, 0, False, ids, [100] * n, [0] * n) for k in (7, 8)], "tok long, part int, more boolean, cls array<long>, n array<int>, pos array<int>")
+    parts = spark.createDataFrame([(i, J.bitmap(s, J.BITS), max(1, i - n + 3)) for i, s in sets.items()], "cls long, bits binary, comp long")
+    found = [(r.a, r.b) for r in J.rest_pairs(tiled, parts, 80, False, 2).collect()]
+    part = {i: max(1, i - n + 3) for i in ids}
+    assert len(found) == len(set(found)) == 2 + 2 + 1  # parts 2 and 3 are one class each
+    assert all(part[a] != part[b] for a, b in found)
+    likest = {(a, b) for a, b in found if part[a] == 1 and part[b] == 3}
+    assert len(likest) == 2 and all(a % 7 == b % 7 for a, b in likest)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(40)] + [(200, k) for k in range(201, 240)]
