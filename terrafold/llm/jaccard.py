@@ -451,7 +451,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable. Null and empty texts have no shingles and link with
     nothing, so they keep their own id. Rows that share a doc_id count as linked. Rows without a doc_id
     link with nothing and get a null component_id. Other columns are ignored; an empty table gives one."""
-    small_batches(docs.sparkSession, size="8m")
+    small_batches(docs.sparkSession, size="1m")
     first = written(classes(docs), "classes")
     members = first.where("slot is null").select("doc_id", "n", "cls", "bits", "fine")
     rare = np.zeros(1 << RARITY_BITS, np.uint8)
