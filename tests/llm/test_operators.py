@@ -134,6 +134,82 @@ def test_passages_brute(spark):
     assert len(meant) > 15 and {(x.doc_id, x.class_doc) for x in found if x.doc_id != x.class_doc} == meant
 
 
+def test_passages_repetitive():
+    """Texts that repeat few shingles are compared once for each set of them (3 s for such a pair before)."""
+    import time
+
+    from terrafold.llm.passages import alike
+
+    r = np.random.default_rng(4)
+    shared = r.integers(1, 2**63, 25, dtype=np.uint64)
+    x, y = (np.tile(np.concatenate([shared, r.integers(1, 2**63, 5, dtype=np.uint64)]), 36) for _ in range(2))
+    began = time.process_time()
+    assert alike(x, y, 46, 80) == []
+    assert alike(x, np.tile(shared, 40), 46, 80)[0][4] == 25 / 30
+    assert time.process_time() - began < 1
+
+
+def test_passages_ordered():
+    """Shingles that stand in one order and once each: parts match if any do by brute force."""
+    from terrafold.llm.passages import alike
+
+    r, hits = np.random.default_rng(6), 0
+    for k in range(80):
+        x = y = np.arange(1, 75, dtype=np.uint64)
+        for gone in range(r.integers(3, 7)):
+            at, wide = r.integers(0, 70), r.integers(1, 6)
+            other = np.arange(1000 * k + 100 * gone + 1000, 1000 * k + 100 * gone + 1000 + r.integers(0, 6), dtype=np.uint64)
+            x, y = (np.concatenate([v[:at], other, v[at + wide :]]) if (gone % 2) == side else v for side, v in enumerate((x, y)))
+        stands = {int(v): j for j, v in enumerate(y)}
+        to = np.array([stands.get(int(v), -1) for v in x])
+        held = np.zeros((len(x) + 1, len(y) + 1), int)
+        held[1:, 1:][np.flatnonzero(to >= 0), to[to >= 0]] = 1
+        held = held.cumsum(0).cumsum(1)
+        meant = False
+        for m in range(46, len(x) + 1):
+            for n in range(46, len(y) + 1):
+                both = held[m:, n:] - held[:-m, n:] - held[m:, :-n] + held[:-m, :-n]
+                meant |= bool((180 * both >= 80 * (m + n)).any())
+        found = alike(x, y, 46, 80)
+        assert bool(found) == meant
+        hits += meant
+        for a, m, c, n, like in found:
+            p, q = set(x[a : a + m].tolist()), set(y[c : c + n].tolist())
+            assert min(m, n) >= 46 and a + m <= len(x) and c + n <= len(y) and abs(len(p & q) / len(p | q) - like) < 1e-9 and like >= 0.8
+    assert 10 < hits < 70
+
+
+def test_passages_one_group(spark, monkeypatch):
+    """Near copies of one text are one class after few comparisons, and all that match are in it."""
+    from terrafold.llm import passages as module
+
+    r = random.Random(12)
+    base, docs = [f"w{r.randrange(10**9)}" for _ in range(90)], []
+    for _ in range(240):
+        w = list(base)
+        for _ in range(r.randrange(1, 7)):
+            w[r.randrange(90)] = f"w{r.randrange(10**9)}"
+        docs.append(w)
+    compared, verified = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda pairs, *more: (compared.append(pairs.count()), verified(pairs, *more))[1])
+    found = module.passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()
+    assert sum(compared) < 9000  # of 28,680 pairs
+    root = list(range(240))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in found:
+        root[max(top(x.doc_id), top(x.class_doc))] = min(top(x.doc_id), top(x.class_doc))
+    with np.errstate(over="ignore"):
+        hashes = [module.rolled(np.array([hash(v) & (2**63 - 1) for v in w], np.uint64)) for w in docs]
+    for i in range(240):
+        for j in range(i):
+            assert top(i) == top(j) or not module.alike(hashes[i], hashes[j], 46, 80)
+
+
 def test_fingerprints(docs, rows):
     from terrafold.llm.fingerprints import fingerprints
 
