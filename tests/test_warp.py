@@ -78,3 +78,18 @@ def test_empty_and_kinds(spark):
     assert warp.warped(df, warp.Frame(Grid(0, 4, 1, 4, 4), same, same), Grid(0, 4, 1, 4, 4)).collect() == []
     kinds = spark.createDataFrame([("a", 4, "uint16"), ("a", 4, "uint16"), ("b", 4, "uint16"), ("b", 3, "uint16"), ("c", 4, "uint8"), ("c", 4, "uint16")], "g string, bands int, dtype string")
     assert sorted(tuple(r) for r in warp.kinds_differ(kinds, ["g"]).collect()) == [("b", "bands: 3 and 4"), ("c", "uint16 and uint8")]
+
+
+def test_pixels_beside_the_frame(spark):
+    """Tiles beyond the source's or the target's end ask for no target pixels, and no place outside of the target is mapped back."""
+    same = lambda x, y: (x, y)
+    grid, target = Grid(0.0, 100.0, 1.0, 40, 100), Grid(0.0, 100.0, 1.0, 40, 30)
+    held = lambda x, y: (x, F.when(y < 70, F.raise_error(F.lit("below the target"))).otherwise(y))
+    tiles = spark.createDataFrame([(r, ty, 0) for r in (1, 2) for ty in (0, 1, 2, 5, 500, -3)], "raster_id long, ty long, tx long")
+    points = warp.target_points(tiles, warp.Frame(grid, same, held), target, 10)
+    assert {(p.raster_id, p.row) for p in points.collect()} == {(r, row) for r in (1, 2) for row in range(30)}
+    df = spark.createDataFrame([(1, i, 3, 1, 1.0 + i) for i in (0, 29, 30, 31, 55, 99, 100, 5000)], "raster_id long, row int, col int, band int, value double")
+    assert sorted((p.row, p.col, p.value) for p in warp.warped(df, warp.Frame(grid, same, held), target, "nearest", 10).collect()) == [(0, 3, 1.0), (29, 3, 30.0)]
+    low = warp.warped(df, warp.Frame(grid, same, same), Grid(0.0, 99.75, 1.0, 40, 200), "bilinear", 10)
+    got = {p.row: p.value for p in low.collect() if p.col == 3}
+    assert set(got) == {0, 28, 29, 30, 31, 54, 55, 98, 99} and got[99] == pytest.approx(100.25)  # a neighbour below the source's end counts
