@@ -1,30 +1,41 @@
 """Overlay of polygons (union, intersection, difference, repair) as joins and windows over edges.
 
-Shapes are rows with ``rings`` (array of rings of points, even-odd rule) and are cut at tiles. In a tile, x is divided
-at all vertices and crossings of edges. Between two neighbouring x no edges cross, so sorting them by height and
+Shapes are rows with ``rings`` (array of rings of points, even-odd rule) and are cut at tiles. A task splits its tiles
+while they hold many edges and drops what lies below a shape that covers all of a part (``strips``). In each part, x is
+divided at all vertices and crossings of edges. Between two neighbouring x no edges cross, so sorting them by height and
 counting how many shapes each one enters or leaves gives the covered trapezoids. Their areas add up to the result's
 area. Their sides, added up as signed segments, cancel wherever two trapezoids meet, across tiles too: what remains
 is the outline, and its segments are joined end to start into rings.
 
-A tile is split while it holds many edges, so a dense place is many keys. Every step is a join, an aggregate or a
-window with the tile in its key; only the points of one ring come together in one row."""
+A tile with very many edges is split among tasks, so a dense place is many keys. Every other step is a join, an aggregate
+or a window with the tile in its key; only the points of one ring come together in one row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.functions import geometry as G
+from terrafold.operators import strips
 from terrafold.operators.ranges import written
 
-#: A tile with more edges is split in four, at most so many times (edges that meet in one point stay together).
-MOST_EDGES, SPLITS = 160, 6
+#: A tile with more edges is split in four and each part goes to a task by itself, at most so many times.
+DENSE, PARTS = 200_000, 6
+#: Within a task a tile with more edges is split on, at most so many times (edges that meet in one point stay together).
+MOST_EDGES, SPLITS = 64, 12
+#: Shapes of more points are cut at tiles.
+SMALL = 256
+#: Rows of pieces that a task works on at once.
+ROWS = 20_000
 #: Heights and crossings are multiples of this (a power of two: exact for coordinates below 8 million).
-GRID = 2.0**-30
+GRID = strips.GRID
 
-#: A trapezoid's area.
-AREA = "((tl + tr) - (bl + br)) / 2 * (xb - xa)"
 RULES = {
     "union": lambda a, b: (a > 0) | (b > 0),
     "intersection": lambda a, b: (a > 0) & (b > 0),
@@ -34,9 +45,11 @@ RULES = {
 
 
 def rings_of(vertices: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rings) from a row for each vertex (keys, ring, pos, x, y); a ring's points come in the order of ``pos``."""
+    """(keys, rings) from a row for each vertex (keys, ring, pos, x, y); a ring's points come in the order of ``pos``.
+
+    Vertices are dealt out by shape once, which does for the rings too."""
     point = F.struct("pos", F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
-    rings = vertices.groupBy(*keys, "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("points"))
+    rings = vertices.repartition(*keys).groupBy(*keys, "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("points"))
     ordered = F.array_sort(F.collect_list(F.struct("ring", "points")))
     return rings.groupBy(*keys).agg(F.transform(ordered, lambda r: r["points"]).alias("rings"))
 
@@ -46,22 +59,29 @@ def _clipped(rings: Column, x: Column, y: Column, size: Column) -> Column:
     return F.filter(cut, lambda r: F.size(r) > 2)
 
 
-def in_tiles(shapes: DataFrame, keys: list[str], tile: float, most: int | None = MOST_EDGES) -> DataFrame:
-    """Shapes cut at tiles: (keys, gid, side, rings, size, tx, ty, base_x, base_y). Null and empty rings have no rows.
+def _within(rings: Column, x: Column, y: Column, size: Column) -> Column:
+    """The rings as a tile needs them: small ones as they are (the tile's task takes what lies in it), others cut at the tile."""
+    few = F.aggregate(F.transform(rings, F.size), F.lit(0), lambda s, n: s + n) <= SMALL
+    b = G.bounds(rings)
+    inside = (b["minx"] >= x) & (b["maxx"] <= x + size) & (b["miny"] >= y) & (b["maxy"] <= y + size)
+    return F.when(few | inside, rings).otherwise(_clipped(rings, x, y, size))
+
+
+def in_tiles(shapes: DataFrame, keys: list[str], tile: float, most: int | None = DENSE) -> DataFrame:
+    """Shapes dealt out to the tiles they meet: (keys, gid, side, rings, size, tx, ty, base_x, base_y). Null and empty rings have no rows.
 
-    ``base_x`` and ``base_y`` number the tiles before any is split; without ``most`` none is."""
+    Shapes of many points are cut at the tile, others may reach over its border. ``base_x`` and ``base_y`` number the
+    tiles before any is split; without ``most`` none is."""
     shapes = shapes.select(*keys, "gid", "side", F.filter("rings", lambda r: r.isNotNull() & (F.size(r) > 2)).alias("rings")).where(F.size("rings") > 0)
     box = shapes.withColumn("_b", G.bounds(F.col("rings")))
     place = lambda c: F.floor(F.col(c) / tile)
-    cells = box.withColumn("tx", F.explode(F.sequence(place("_b.minx"), place("_b.maxx")))).withColumn("ty", F.explode(F.sequence(place("_b.miny"), place("_b.maxy"))))
+    cells = box.withColumn("tx", F.explode(F.sequence(place("_b.minx"), place("_b.maxx")))).withColumn("ty", F.explode(F.sequence(place("_b.miny"), place("_b.maxy")))).drop("_b")
     size = F.lit(float(tile))
-    x, y = F.col("tx") * size, F.col("ty") * size
-    whole = (F.col("_b.minx") >= x) & (F.col("_b.maxx") <= x + size) & (F.col("_b.miny") >= y) & (F.col("_b.maxy") <= y + size)
-    cells = cells.withColumn("rings", F.when(whole, F.col("rings")).otherwise(_clipped(F.col("rings"), x, y, size))).drop("_b").where(F.size("rings") > 0)
+    cells = cells.withColumn("rings", _within(F.col("rings"), F.col("tx") * size, F.col("ty") * size, size))
     cells = cells.withColumns({"size": size, "base_x": F.col("tx"), "base_y": F.col("ty")})
     done = []
     group = [*keys, "size", "tx", "ty"]
-    for _ in range(SPLITS if most is not None else 0):
+    for _ in range(PARTS if most is not None else 0):
         cells = written(cells, "tiles")
         edges = F.aggregate(F.transform("rings", F.size), F.lit(0), lambda s, n: s + n)
         dense = cells.groupBy(*group).agg(F.sum(edges).alias("edges")).where(F.col("edges") > most).drop("edges")
@@ -69,9 +89,11 @@ def in_tiles(shapes: DataFrame, keys: list[str], tile: float, most: int | None =
             break
         done.append(cells.join(dense, group, "left_anti"))
         half = F.col("size") / 2
-        parts = cells.join(dense, group, "left_semi").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+        parts = cells.join(dense, group, "left_semi").withColumn("_b", G.bounds(F.col("rings"))).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
         parts = parts.withColumns({"tx": F.col("tx") * 2 + F.col("i"), "ty": F.col("ty") * 2 + F.col("j"), "size": half}).drop("i", "j")
-        cells = parts.withColumn("rings", _clipped(F.col("rings"), F.col("tx") * F.col("size"), F.col("ty") * F.col("size"), F.col("size"))).where(F.size("rings") > 0)
+        low = lambda t: F.col(t) * F.col("size")
+        parts = parts.where((F.col("_b.minx") < low("tx") + F.col("size")) & (F.col("_b.maxx") > low("tx")) & (F.col("_b.miny") < low("ty") + F.col("size")) & (F.col("_b.maxy") > low("ty"))).drop("_b")
+        cells = parts.withColumn("rings", _within(F.col("rings"), low("tx"), low("ty"), F.col("size")))
     for d in done:
         cells = cells.unionByName(d)
     return cells
@@ -91,56 +113,125 @@ def sides_of(pieces: DataFrame) -> DataFrame:
     return out.select(*(c for c in out.columns if c != "e"), "e.*").where("ax != bx or ay != by")
 
 
-def edges_of(pieces: DataFrame) -> DataFrame:
-    """The sides from left to right (x1 < x2); upright ones bound no stretch of x and are left out."""
-    out = sides_of(pieces).where("ax != bx")
-    right = F.col("ax") < F.col("bx")
-    ends = {n: F.when(right, F.col(a)).otherwise(F.col(b)) for n, a, b in (("x1", "ax", "bx"), ("y1", "ay", "by"), ("x2", "bx", "ax"), ("y2", "by", "ay"))}
-    return out.withColumns(ends).drop("ax", "ay", "bx", "by")
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are alike."""
+    try:
+        codes = pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        return codes[1:] != codes[:-1]
+    except pa.ArrowNotImplementedError:
+        values = column.to_pylist()
+        return np.array([a != b for a, b in zip(values[1:], values, strict=False)], bool)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, equal for equal ones."""
+    try:
+        return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    except pa.ArrowNotImplementedError:
+        return np.unique([repr(v) for v in column.to_pylist()], return_inverse=True)[1]
+
+
+def _cells_of(rows: pa.Table, group: list[str]) -> tuple[np.ndarray, strips.Sides, tuple[np.ndarray, ...]]:
+    """The first row of each group, all sides, and the groups as cells: number, size, tx, ty, and the cell of each side."""
+    new = np.append(True, np.any([_changes(rows[c]) for c in group], axis=0)) if rows.num_rows > 1 else np.ones(rows.num_rows, bool)
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    rings = rows["rings"].combine_chunks()
+    rings = rings.chunk(0) if isinstance(rings, pa.ChunkedArray) else rings
+    inner = rings.values
+    points, upto, of = inner.values, inner.offsets.to_numpy(), rings.offsets.to_numpy()
+    x, y = (strips.snapped(points.field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+    length = np.diff(upto)
+    after = np.arange(1, len(x) + 1)
+    after[upto[1:][length > 0] - 1] = upto[:-1][length > 0]
+    row = np.repeat(np.repeat(np.arange(len(of) - 1), np.diff(of)), length)
+    ax, ay, bx, by = x, y, x[after], y[after]
+    on = ((ax != bx) | (ay != by)) & ~np.isnan(ax + ay + bx + by)
+    ax, ay, bx, by, row = (v[on] for v in (ax, ay, bx, by, row))
+    right = ax <= bx
+    ends = [np.where(right, a, b) for a, b in ((ax, bx), (ay, by), (bx, ax), (by, ay))]
+    side = rows["side"].to_numpy().astype(np.int64)
+    gid = _codes(rows["gid"])
+    _, one, shape = np.unique(np.stack([number, side, gid]), axis=1, return_index=True, return_inverse=True)
+    sides = strips.Sides(*ends, shape.ravel()[row], side[one])
+    cells = (np.arange(len(first)), *(rows[c].to_numpy()[first] for c in ("size", "tx", "ty")), number[row])
+    return first, sides, cells
+
+
+def _worked(pieces: DataFrame, keys: list[str], alone: bool, made, schema: str) -> DataFrame:
+    """What ``made`` (rows of whole groups: their first rows, sides, cells) makes of the pieces' groups, many small ones at a time.
+
+    ``alone``: the rows of a group follow one another in a partition already, so none is shuffled."""
+    group = [*keys, "size", "tx", "ty"]
+    if not alone:
+        pieces = pieces.repartition(*group).sortWithinPartitions(*group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows < ROWS and held.nbytes < ROWS << 8:
+                continue
+            changes = np.flatnonzero(np.any([_changes(held[c]) for c in group], axis=0)) if held.num_rows > 1 else []
+            if len(changes):  # the last group may go on
+                done = int(changes[-1]) + 1
+                whole, held = held.slice(0, done), pa.Table.from_batches(held.slice(done).combine_chunks().to_batches())
+                yield from made(whole.combine_chunks(), *_cells_of(_fresh(whole), group))
+        if held is not None and held.num_rows:
+            yield from made(held, *_cells_of(_fresh(held), group))
+
+    names = [*keys, *(c for c in ("size", "tx", "ty", "base_x", "base_y", "gid", "side", "rings") if c in pieces.columns)]
+    return pieces.select(*names).mapInArrow(run, schema)
 
 
-def crossings(edges: DataFrame, group: list[str]) -> DataFrame:
-    """(group, x) where two edges of a group cross, both ends of either left out."""
-    a = edges.select(*group, F.struct("side", "gid", "eid").alias("id"), "x1", "y1", "x2", "y2")
-    b = a.withColumnsRenamed({c: f"b_{c}" for c in ("id", "x1", "y1", "x2", "y2")})
-    pairs = a.join(b, group).where((F.col("id") < F.col("b_id")) & (F.col("x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("x2")))
-    apart = (F.greatest("y1", "y2") < F.least("b_y1", "b_y2")) | (F.greatest("b_y1", "b_y2") < F.least("y1", "y2"))
-    slope = lambda b: F.try_divide(F.col(f"{b}y2") - F.col(f"{b}y1"), F.col(f"{b}x2") - F.col(f"{b}x1"))
-    s, t = slope(""), slope("b_")
-    at = F.col("x1") + F.try_divide(F.col("b_y1") - F.col("y1") - t * (F.col("b_x1") - F.col("x1")), s - t)  # null if parallel
-    return pairs.where(~apart).select(*group, snapped(at).alias("x"), F.greatest("x1", "b_x1").alias("lo"), F.least("x2", "b_x2").alias("hi")).where("x > lo and x < hi").select(*group, "x")
+def _fresh(rows: pa.Table) -> pa.Table:
+    """The rows in arrays of their own, that begin at 0."""
+    return rows.take(pa.array(np.arange(rows.num_rows)))
 
 
-def _height(x: str) -> Column:
-    """The edge's y at x; at its ends exactly that of the ends, so that neighbours meet."""
-    c = F.col(x)
-    between = F.col("y1") + (F.col("y2") - F.col("y1")) * ((c - F.col("x1")) / (F.col("x2") - F.col("x1")))
-    return snapped(F.when(c == F.col("x1"), F.col("y1")).when(c == F.col("x2"), F.col("y2")).otherwise(between))
+def _types(pieces: DataFrame, columns: list[str]) -> str:
+    """The schema text of some columns."""
+    return ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def trapezoids(pieces: DataFrame, keys: list[str], rule: str) -> DataFrame:
-    """What the rule covers, as trapezoids between xa and xb: bl and br are the lower ends, tl and tr the upper ones.
+def trapezoids(pieces: DataFrame, keys: list[str], rule: str, most: int = MOST_EDGES, alone: bool = False) -> DataFrame:
+    """What the rule covers, as trapezoids between xa and xb: bl and br are the lower ends, tl and tr the upper ones, low and high the sides.
 
     ``pieces`` come from ``in_tiles``. A shape (gid, side 0 or 1) covers what its rings enclose an odd number of times."""
-    group = [*keys, "size", "tx", "ty"]
-    edges = written(edges_of(pieces), "edges")
-    ends = edges.select(*group, F.explode(F.array("x1", "x2")).alias("x"))
-    xs = ends.unionByName(crossings(edges, group)).distinct()
-    stretches = xs.select(*group, F.col("x").alias("xa"), F.lead("x").over(Window.partitionBy(*group).orderBy("x")).alias("xb")).where("xb is not null")
-    cut = stretches.join(edges, group).where("x1 <= xa and x2 >= xb").withColumns({"yl": _height("xa"), "yr": _height("xb")})
-    cut = cut.withColumn("mid", F.col("yl") + F.col("yr"))
-    own = F.row_number().over(Window.partitionBy(*group, "xa", "side", "gid").orderBy("mid", "eid"))
-    cut = cut.withColumn("sign", F.when(own % 2 == 1, 1).otherwise(-1))
-    # where one shape ends and another begins at one height, the second is entered first: they touch
-    up = Window.partitionBy(*group, "xa").orderBy("mid", F.desc("sign"), "side", "gid", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("sign")).otherwise(0)).over(up)
-    cut = cut.withColumns({"a": of(0), "b": of(1)})
-    before = lambda side, c: F.col(c) - F.when(F.col("side") == side, F.col("sign")).otherwise(0)
-    cut = cut.withColumns({"now": RULES[rule](F.col("a"), F.col("b")), "was": RULES[rule](before(0, "a"), before(1, "b"))}).where("now != was")
-    next_up = Window.partitionBy(*group, "xa").orderBy("mid", F.desc("sign"), "side", "gid", "eid")
-    edge = F.struct("side", "gid", "eid")
-    both = cut.select(*group, "base_x", "base_y", "xa", "xb", "now", F.col("yl").alias("bl"), F.col("yr").alias("br"), edge.alias("low"), F.lead("yl").over(next_up).alias("tl"), F.lead("yr").over(next_up).alias("tr"), F.lead(edge).over(next_up).alias("high"))
-    return both.where("now and tl is not null and (bl != tl or br != tr)").drop("now")
+    kept = [*keys, "base_x", "base_y"]
+
+    def made(rows: pa.Table, first: np.ndarray, sides: strips.Sides, cells: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for c in strips.leaves(sides, *cells, most, SPLITS):
+            for cell, xa, xb, bl, br, low, tl, tr, high in strips.strips(sides, c, RULES[rule]):
+                at = pa.array(first[c.group[cell]])
+                own = [rows[k].take(at).combine_chunks() for k in kept]
+                own = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in own]
+                rest = [pa.array(v) for v in (c.size[cell], c.tx[cell], c.ty[cell], xa, xb, bl, br, low, tl, tr, high)]
+                yield pa.RecordBatch.from_arrays([*own, *rest], [*kept, "size", "tx", "ty", "xa", "xb", "bl", "br", "low", "tl", "tr", "high"])
+
+    schema = f"{_types(pieces, kept)}, size double, tx long, ty long, xa double, xb double, bl double, br double, low long, tl double, tr double, high long"
+    return _worked(pieces, keys, alone, made, schema)
+
+
+def _areas(pieces: DataFrame, keys: list[str], rule: str, most: int = MOST_EDGES, alone: bool = False) -> DataFrame:
+    """(keys, area) of what the rule covers; keys without any have no row."""
+
+    def made(rows: pa.Table, first: np.ndarray, sides: strips.Sides, cells: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(len(first)), np.zeros(len(first), bool)
+        for c in strips.leaves(sides, *cells, most, SPLITS):
+            for cell, xa, xb, bl, br, _, tl, tr, _ in strips.strips(sides, c, RULES[rule]):
+                total += np.bincount(c.group[cell], ((tl + tr) - (bl + br)) / 2 * (xb - xa), len(first))
+                some[c.group[cell]] = True
+        at = pa.array(first[some])
+        own = [rows[k].take(at).combine_chunks() for k in keys]
+        own = [v.chunk(0) if isinstance(v, pa.ChunkedArray) and v.num_chunks else v for v in own]
+        if some.any():
+            yield pa.RecordBatch.from_arrays([*own, pa.array(total[some])], [*keys, "area"])
+
+    types = _types(pieces, keys)
+    return _worked(pieces, keys, alone, made, f"{types}{', ' if types else ''}area double").groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
 def _named(shapes: DataFrame, keys: list[str]) -> tuple[list[str], DataFrame]:
@@ -152,7 +243,7 @@ def _named(shapes: DataFrame, keys: list[str]) -> tuple[list[str], DataFrame]:
 def overlay_area(shapes: DataFrame, keys: list[str], tile: float, rule: str = "union", most: int = MOST_EDGES) -> DataFrame:
     """(keys, area): area of the union (or another rule) of each key's shapes (keys, gid, side, rings); keys without area have no row."""
     own, shapes = _named(shapes, keys)
-    areas = trapezoids(in_tiles(shapes, own, tile, most), own, rule).groupBy(*own).agg(F.sum(F.expr(AREA)).alias("area"))
+    areas = _areas(in_tiles(shapes, own, tile), own, rule, most)
     return areas.withColumnsRenamed(dict(zip(own, keys, strict=True)))
 
 
@@ -263,14 +354,14 @@ def dissolved(shapes: DataFrame, keys: list[str], tile: float, rule: str = "unio
     (slivers of rounding) are left out. Rings may touch themselves or others in points, but never cross. Shapes that
     are null or have no ring of 3 points cover nothing; repeated shapes count once."""
     own, shapes = _named(shapes, keys)
-    rings = _rings(in_tiles(shapes, own, tile, most), own, rule, least_m2)
+    rings = _rings(in_tiles(shapes, own, tile), own, rule, least_m2, most)
     return rings.select(*(F.col(n).alias(k) for n, k in zip(own, keys, strict=True)), "ring_id", "hole", "area", "ring")
 
 
-def _rings(pieces: DataFrame, own: list[str], rule: str, least_m2: float) -> DataFrame:
+def _rings(pieces: DataFrame, own: list[str], rule: str, least_m2: float, most: int = MOST_EDGES, alone: bool = False) -> DataFrame:
     """(own keys, ring_id, hole, area, ring) around what the rule covers of pieces cut at tiles."""
-    strips = written(trapezoids(pieces, own, rule), "strips")
-    segments = written(outline(strips, own).withColumn("eid", F.monotonically_increasing_id()), "outline")
+    covered = written(trapezoids(pieces, own, rule, most, alone), "strips")
+    segments = written(outline(covered, own).withColumn("eid", F.monotonically_increasing_id()), "outline")
     placed = segments.join(_named_rings(_followers(segments, own)), "eid")
     point = F.struct("place", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"))
     rings = placed.groupBy(*own, F.col("ring").alias("ring_id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("ring"))
@@ -322,7 +413,7 @@ def _met(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_ke
 def shared_area(left: DataFrame, right: DataFrame, tile: float, left_key: str, right_key: str) -> DataFrame:
     """(left_key, right_key, area) for the pairs of shapes that share area. Both tables: (key, rings), a row for each key."""
     pieces = _met(left, right, tile, left_key, right_key)
-    areas = trapezoids(pieces, ["_left", "_right"], "intersection").groupBy("_left", "_right").agg(F.sum(F.expr(AREA)).alias("area"))
+    areas = _areas(pieces, ["_left", "_right"], "intersection", alone=True)
     return areas.where("area > 0").toDF(left_key, right_key, "area")
 
 
@@ -330,7 +421,7 @@ def clipped(left: DataFrame, right: DataFrame, tile: float, left_key: str, right
     """(left_key, right_key, area, rings) for the same pairs: what of each left shape lies in each right one, as rings.
 
     Outer rings come first; a shape that falls apart has several. Pairs that share less than ``least_m2`` have no row."""
-    rings = _rings(_met(left, right, tile, left_key, right_key), ["_left", "_right"], "intersection", least_m2)
+    rings = _rings(_met(left, right, tile, left_key, right_key), ["_left", "_right"], "intersection", least_m2, alone=True)
     ordered = F.array_sort(F.collect_list(F.struct("hole", "ring_id", "ring")))
     out = rings.groupBy("_left", "_right").agg(F.sum("area").alias("area"), F.transform(ordered, lambda r: r["ring"]).alias("rings"))
     return out.toDF(left_key, right_key, "area", "rings")
@@ -343,7 +434,7 @@ def coverage(footprints: DataFrame, zones: DataFrame, key: str, tile: float) ->
     cut = lambda df, side, own: in_tiles(df.select(*own, F.monotonically_increasing_id().alias("gid"), F.lit(side).alias("side"), "rings"), ["_zone"] if side else [], tile, None)
     z = written(cut(zones, 1, [F.col(key).alias("_zone")]), "zones")
     prints = cut(footprints, 0, []).join(z.select("tx", "ty", "_zone").distinct(), ["tx", "ty"]).select(*z.columns)
-    area = lambda rule, pieces: trapezoids(pieces, ["_zone"], rule).groupBy("_zone").agg(F.sum(F.expr(AREA)).alias("area"))
+    area = lambda rule, pieces: _areas(pieces, ["_zone"], rule)
     whole = area("union", z.withColumn("side", F.lit(0))).withColumnRenamed("area", "whole")
     out = whole.join(area("intersection", prints.unionByName(z)), "_zone", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
     percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("area") / F.col("whole") * 100))
