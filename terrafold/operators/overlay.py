@@ -247,23 +247,41 @@ def overlay_area(shapes: DataFrame, keys: list[str], tile: float, rule: str = "u
     return areas.withColumnsRenamed(dict(zip(own, keys, strict=True)))
 
 
-def outline(strips: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ax, ay, bx, by): the segments around the trapezoids, with the inside on the left."""
-    group = [*keys, "size", "tx", "ty"]
-    side = lambda role, edge, a, b: strips.select(*group, "base_x", F.lit(role).alias("role"), F.col(edge).alias("edge"), "xa", "xb", F.col(a).alias("ya"), F.col(b).alias("yb"))
-    sides = side(1, "low", "bl", "br").unionByName(side(-1, "high", "tl", "tr"))
-    border = (F.col("ya") == F.col("yb")) & ((F.col("ya") == F.col("ty") * F.col("size")) | (F.col("ya") == (F.col("ty") + 1) * F.col("size")))
-    sides = sides.withColumn("border", border)
-    # pieces of one edge that follow one another are one segment
-    along = Window.partitionBy(*group, "edge", "role").orderBy("xa")
-    free = sides.where("not border").withColumn("fresh", F.when(F.lag("xb").over(along) == F.col("xa"), 0).otherwise(1))
-    free = free.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    free = free.groupBy(*group, "edge", "role", "run").agg(F.min("xa").alias("xa"), F.max("xb").alias("xb"), F.min_by("ya", "xa").alias("ya"), F.max_by("yb", "xb").alias("yb"))
-    start, end = F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y"))
-    free = free.select(*keys, F.when(F.col("role") == 1, start).otherwise(end).alias("a"), F.when(F.col("role") == 1, end).otherwise(start).alias("b"))
-    level = sides.where("border").select(*keys, F.col("base_x").alias("base"), F.col("ya").alias("line"), F.explode(F.array(F.struct(F.col("xa").alias("at"), F.col("role").alias("step")), F.struct(F.col("xb").alias("at"), (-F.col("role")).alias("step")))).alias("e")).select(*keys, "base", "line", "e.*")
-    event = lambda x, y, step: F.struct(F.col(x).alias("line"), F.col(y).alias("at"), F.lit(step).alias("step"))
-    upright = strips.select(*keys, F.col("base_y").alias("base"), F.explode(F.array(event("xb", "br", 1), event("xb", "tr", -1), event("xa", "bl", -1), event("xa", "tl", 1))).alias("e")).select(*keys, "base", "e.*")
+def outline(pieces: DataFrame, keys: list[str], rule: str, most: int = MOST_EDGES, alone: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(keys, ring) around what the rule covers, with the inside on the left: closed rings, and open paths whose ends others meet."""
+    kept = [*keys, "kind", "base", "line", "at", "step", "ring"]
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def made(rows: pa.Table, first: np.ndarray, sides: strips.Sides, cells: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        _, size, tx, ty, _ = cells
+        tile = (tx * size, ty * size, (tx + 1) * size, (ty + 1) * size)
+        found = []
+        for c in strips.leaves(sides, *cells, most, SPLITS):
+            low, high = c.ty * c.size, (c.ty + 1) * c.size
+            found += [(c.group[cell], *rest, low[cell], high[cell]) for cell, *rest in strips.strips(sides, c, RULES[rule])]
+        if not found:
+            return
+        group, *rest, low, high = (np.concatenate(v) for v in zip(*found, strict=True))
+        segments, level, upright = strips.outlines(group, tuple(rest), low, high, tile)
+        none = pa.array([None], pa.list_(point))
+
+        def batch(group: np.ndarray, kind: np.ndarray, base: np.ndarray, line: np.ndarray, at: np.ndarray, step: np.ndarray, ring: pa.Array) -> pa.RecordBatch:
+            own = [rows[k].take(pa.array(first[group])).combine_chunks() for k in keys]
+            own = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in own]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(v) for v in (kind.astype(np.int32), base.astype(np.int64), line, at, step.astype(np.int64))), ring], kept)
+
+        if len(segments[0]):
+            group, closed, start, x, y = strips.paths(*segments, tile)
+            rings = pa.ListArray.from_arrays(pa.array(np.append(start, len(x)), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(point)))
+            zero = np.zeros(len(group))
+            yield batch(group, np.where(closed, 0, 1), zero, zero, zero, zero, rings)
+        for kind, base, (group, line, at, step) in ((2, "base_x", level), (3, "base_y", upright)):
+            if len(group):
+                yield batch(group, np.full(len(group), kind), rows[base].to_numpy()[first][group], line, at, step, none.take(pa.array(np.zeros(len(group), np.int64))))
+
+    types = _types(pieces, keys)
+    ring = "array<struct<x:double,y:double>>"
+    parts = written(_worked(pieces, keys, alone, made, f"{types}{', ' if types else ''}kind int, base long, line double, at double, step long, ring {ring}"), "outline")
 
     def left_over(events: DataFrame, point) -> DataFrame:
         """Segments of a line on which the steps so far do not cancel."""
@@ -272,19 +290,20 @@ def outline(strips: DataFrame, keys: list[str]) -> DataFrame:
         runs = steps.withColumns({"sum": F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "to": F.lead("at").over(w)}).where("sum != 0 and to is not null")
         runs = runs.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.abs("sum").cast("int"))))
         a, b = point("at"), point("to")
-        return runs.select(*keys, F.when(F.col("sum") > 0, a).otherwise(b).alias("a"), F.when(F.col("sum") > 0, b).otherwise(a).alias("b"))
+        return runs.select(*keys, F.when(F.col("sum") > 0, F.array(a, b)).otherwise(F.array(b, a)).alias("ring"))
 
-    lines = left_over(level, lambda c: F.struct(F.col(c).alias("x"), F.col("line").alias("y")))
-    walls = left_over(upright, lambda c: F.struct(F.col("line").alias("x"), F.col(c).alias("y")))
-    out = free.unionByName(lines).unionByName(walls)
-    return out.select(*keys, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    lines = left_over(parts.where("kind = 2"), lambda c: F.struct(F.col(c).alias("x"), F.col("line").alias("y")))
+    walls = left_over(parts.where("kind = 3"), lambda c: F.struct(F.col("line").alias("x"), F.col(c).alias("y")))
+    of = lambda kind: parts.where(F.col("kind") == kind).select(*keys, "ring")
+    return of(0), of(1).unionByName(lines).unionByName(walls)
 
 
 def _followers(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """(eid, next): the segment that goes on where each one ends. Where several meet, the ring turns to the nearest
+    """(eid, next): the path (keys, eid, ring: its points) that goes on where each one ends. Where several meet, the ring turns to the nearest
     one clockwise of the way back, so that it keeps to one side of the point."""
-    out = segments.select(*keys, F.col("ax").alias("x"), F.col("ay").alias("y"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("angle"), F.lit(1).alias("leaves"), "eid")
-    into = segments.select(*keys, F.col("bx").alias("x"), F.col("by").alias("y"), F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")).alias("angle"), F.lit(0).alias("leaves"), "eid")
+    end = lambda one, two, leaves: segments.select(*keys, one["x"].alias("x"), one["y"].alias("y"), F.atan2(two["y"] - one["y"], two["x"] - one["x"]).alias("angle"), F.lit(leaves).alias("leaves"), "eid")
+    at = lambda k: F.element_at("ring", k)
+    out, into = end(at(1), at(2), 1), end(at(-1), at(-2), 0)
     node = [*keys, "x", "y"]
     ranked = out.unionByName(into).withColumn("rank", F.row_number().over(Window.partitionBy(*node, "leaves").orderBy("angle", "eid")))
     first = ranked.groupBy(*node).agg(F.min(F.when(F.col("leaves") == 1, F.col("angle"))).alias("least_out"), F.min(F.when(F.col("leaves") == 0, F.col("angle"))).alias("least_in"), F.sum("leaves").alias("many"))
@@ -360,11 +379,14 @@ def dissolved(shapes: DataFrame, keys: list[str], tile: float, rule: str = "unio
 
 def _rings(pieces: DataFrame, own: list[str], rule: str, least_m2: float, most: int = MOST_EDGES, alone: bool = False) -> DataFrame:
     """(own keys, ring_id, hole, area, ring) around what the rule covers of pieces cut at tiles."""
-    covered = written(trapezoids(pieces, own, rule, most, alone), "strips")
-    segments = written(outline(covered, own).withColumn("eid", F.monotonically_increasing_id()), "outline")
-    placed = segments.join(_named_rings(_followers(segments, own)), "eid")
-    point = F.struct("place", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"))
-    rings = placed.groupBy(*own, F.col("ring").alias("ring_id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("ring"))
+    closed, paths = outline(pieces, own, rule, most, alone)
+    rings = closed.withColumn("ring_id", F.monotonically_increasing_id() * 2)
+    paths = written(paths.withColumn("eid", F.monotonically_increasing_id()), "paths")
+    if paths.limit(1).count():
+        placed = paths.withColumnRenamed("ring", "points").join(_named_rings(_followers(paths, own)), "eid")
+        part = F.struct("place", F.slice("points", 1, F.size("points") - 1).alias("points"))  # the next one has the last point
+        joined = placed.groupBy(*own, "ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda v: v["points"])).alias("points"))
+        rings = rings.select(*own, "ring_id", "ring").unionByName(joined.select(*own, (F.col("ring") * 2 + 1).alias("ring_id"), F.col("points").alias("ring")))
     rings = rings.withColumn("area", G.ring_area(F.col("ring"))).where(F.abs("area") >= least_m2)
     rings = rings.withColumn("ring", _tidy(F.col("ring"))).withColumn("ring", F.concat("ring", F.slice("ring", 1, 1)))
     return rings.select(*own, "ring_id", (F.col("area") < 0).alias("hole"), "area", "ring")

@@ -224,3 +224,91 @@ def strips(s: Sides, c: Cells, rule):
         ok = (yl[lower] != tl) | (yr[lower] != tr)
         lower, upper = lower[ok], upper[ok]
         yield c.cell[row[lower]], xa[lower], xb[lower], yl[lower], yr[lower], e[lower], tl[ok], tr[ok], np.where(top[ok], -1, e[upper])
+
+
+def _left_over(group: np.ndarray, line: np.ndarray, at: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, line, at, step): what remains of the steps at each place of a line."""
+    by = np.lexsort((at, line, group))
+    group, line, at, step = (v[by] for v in (group, line, at, step))
+    new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1])))[: len(by)]
+    step = np.add.reduceat(step, new) if len(new) else step
+    on = step != 0
+    return group[new][on], line[new][on], at[new][on], step[on]
+
+
+def _runs(group: np.ndarray, line: np.ndarray, at: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, line, from, to): segments of lines on which the steps so far do not cancel; those below zero run backwards."""
+    run = np.cumsum(step)  # each line's steps add up to 0
+    k = np.repeat(np.arange(len(run)), np.abs(run))
+    ahead = run[k] > 0
+    return group[k], line[k], np.where(ahead, at[k], at[np.minimum(k + 1, len(run) - 1)]), np.where(ahead, at[np.minimum(k + 1, len(run) - 1)], at[k])
+
+
+def outlines(group: np.ndarray, found: tuple[np.ndarray, ...], lower: np.ndarray, upper: np.ndarray, tile: tuple[np.ndarray, ...]):
+    """The segments (group, ax, ay, bx, by) around trapezoids with the inside on the left, and the steps (group, line, at, step) on level and on upright ends of tiles.
+
+    ``found``: (xa, xb, bl, br, low, tl, tr, high) as ``strips`` tells them; lower and upper: where their cells end. ``tile``:
+    (x0, y0, x3, y3) of each group; what lies on its ends is settled with the tiles beside it."""
+    xa, xb, bl, br, low, tl, tr, high = found
+    two = lambda a, b: np.concatenate([a, b])
+    g, x, to, ya, yb, edge, role = two(group, group), two(xa, xa), two(xb, xb), two(bl, tl), two(br, tr), two(low, high), np.repeat([1, -1], len(xa))
+    border = (ya == yb) & ((ya == two(lower, lower)) | (ya == two(upper, upper)))
+    level = _left_over(two(g[border], g[border]), two(ya[border], ya[border]), two(x[border], to[border]), two(role[border], -role[border]))
+    ones = np.ones(len(xa), np.int64)
+    upright = _left_over(np.tile(group, 4), np.concatenate([xb, xb, xa, xa]), np.concatenate([br, tr, bl, tl]), np.concatenate([ones, -ones, -ones, ones]))
+    # pieces of one side that follow one another are one segment
+    free = np.flatnonzero(~border)
+    free = free[np.lexsort((x[free], role[free], edge[free]))]
+    g, x, to, ya, yb, edge, role = (v[free] for v in (g, x, to, ya, yb, edge, role))
+    new = np.append(True, (edge[1:] != edge[:-1]) | (role[1:] != role[:-1]) | (x[1:] != to[:-1]) | (ya[1:] != yb[:-1]))[: len(free)]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(free))[: len(start)] - 1
+    ahead = role[start] == 1
+    ax, ay, bx, by = (np.where(ahead, a, b) for a, b in ((x[start], to[end]), (ya[start], yb[end]), (to[end], x[start]), (yb[end], ya[start])))
+    parts, ends = [(g[start], ax, ay, bx, by)], []
+    for steps, a, b in ((level, 1, 3), (upright, 0, 2)):
+        on_end = (steps[1] == tile[a][steps[0]]) | (steps[1] == tile[b][steps[0]])
+        ends.append(tuple(v[on_end] for v in steps))
+        k, line, at, until = _runs(*(v[~on_end] for v in steps))
+        parts.append((k, at, line, until, line) if steps is level else (k, line, at, line, until))
+    return tuple(np.concatenate(v) for v in zip(*parts, strict=True)), *ends
+
+
+def paths(group: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, tile: tuple[np.ndarray, ...]):
+    """(group, closed, points from, x, y): segments joined end to start, up to the ends of their tiles; x and y of all points one after another.
+
+    Where several meet, a path turns to the nearest one clockwise of the way back, as the rings of ``overlay`` do."""
+    n = len(group)
+    inner = lambda x, y: (x != tile[0][group]) & (x != tile[2][group]) & (y != tile[1][group]) & (y != tile[3][group])
+    outs, ins = np.flatnonzero(inner(ax, ay)), np.flatnonzero(inner(bx, by))
+    out_angle, in_angle = np.arctan2(by - ay, bx - ax), np.arctan2(ay - by, ax - bx)
+    outs = outs[np.lexsort((outs, out_angle[outs], ay[outs], ax[outs], group[outs]))]
+    ins = ins[np.lexsort((ins, in_angle[ins], by[ins], bx[ins], group[ins]))]
+    follow, before = np.full(n, -1), np.full(n, -1)
+    if len(outs) and len(ins):
+        assert len(outs) == len(ins) and np.array_equal(ax[outs], bx[ins]) and np.array_equal(ay[outs], by[ins]), "an outline does not close"
+        new = np.append(True, (group[outs][1:] != group[outs][:-1]) | (ax[outs][1:] != ax[outs][:-1]) | (ay[outs][1:] != ay[outs][:-1]))
+        start = np.flatnonzero(new)
+        many = np.diff(np.append(start, len(outs)))
+        first, many = np.repeat(start, many), np.repeat(many, many)
+        rank = np.arange(len(outs)) - first
+        turned = out_angle[outs[first]] > in_angle[ins[first]]
+        follow[ins] = outs[first + np.where(turned, (rank - 1) % many, rank)]
+        before[follow[ins]] = ins
+    order: list[int] = []
+    begin: list[int] = []
+    ahead, left = follow.tolist(), np.ones(n, bool).tolist()
+    for heads in (np.flatnonzero(before < 0).tolist(), range(n)):
+        for i in heads:
+            if left[i]:
+                begin.append(len(order))
+                while i >= 0 and left[i]:
+                    left[i] = False
+                    order.append(i)
+                    i = ahead[i]
+    walk, begin_at = np.array(order, np.int64), np.array(begin, np.int64)
+    closed = before[walk[begin_at]] >= 0
+    last = walk[np.append(begin_at[1:], n)[: len(begin_at)] - 1]
+    at = np.append(begin_at[1:], n)[: len(begin_at)][~closed]  # open paths have their end too
+    x, y = np.insert(ax[walk], at, bx[last[~closed]]), np.insert(ay[walk], at, by[last[~closed]])
+    return group[walk[begin_at]], closed, begin_at + np.cumsum(~closed) - ~closed, x, y

@@ -52,3 +52,21 @@ def test_crowded_tile(spark):
     assert overlay.trapezoids(pieces, ["k"], "union").count() < n
     assert overlay.overlay_area(df, ["k"], 64.0).collect()[0].area == held.sum()
     assert sum(r.area for r in overlay.dissolved(df, ["k"], 64.0).collect()) == held.sum()
+
+
+def test_paths():
+    """Outlines of two tiles: rings inside are closed, a ring across their common end is open in each, and corners that touch stay apart."""
+    x0, y0, x1, y1 = (np.array(v, float) for v in zip((1, 1, 3, 3), (3, 3, 5, 5), (6, 1, 10, 2), strict=True))
+    n = 3
+    s = sides_of(np.tile(x0, 2), np.tile(y0, 2), np.tile(x1, 2), np.tile(y1, 2), np.zeros(2 * n, int))
+    cells = (np.arange(2), np.array([8.0, 8.0]), np.array([0, 1]), np.array([0, 0]), np.tile(np.arange(2 * n) // n, 4))
+    tile = tuple(np.array(v, float) for v in ([0, 8], [0, 0], [8, 16], [8, 8]))
+    (c,) = strips.leaves(s, *cells, 64, 12)
+    found = [np.concatenate(v) for v in zip(*strips.strips(s, c, overlay.RULES["union"]), strict=True)]
+    cell, rest = found[0], tuple(found[1:])
+    segments, level, upright = strips.outlines(cell, rest, np.zeros(len(cell)), np.full(len(cell), 8.0), tile)
+    group, closed, start, x, y = strips.paths(*segments, tile)
+    rings = {(int(g), bool(k), frozenset(zip(x[a:b].tolist(), y[a:b].tolist(), strict=True))) for g, k, a, b in zip(group, closed, start, [*start[1:], len(x)], strict=True)}
+    box = lambda k: frozenset((a, b) for a in (x0[k], x1[k]) for b in (y0[k], y1[k]))
+    assert rings == {(0, True, box(0)), (0, True, box(1)), (0, False, frozenset({(8, 2), (6, 2), (6, 1), (8, 1)})), (1, False, frozenset({(8, 1), (10, 1), (10, 2), (8, 2)}))}
+    assert not len(level[0]) and sorted(zip(*(v.tolist() for v in upright), strict=True)) == [(0, 8.0, 1.0, 1), (0, 8.0, 2.0, -1), (1, 8.0, 1.0, -1), (1, 8.0, 2.0, 1)]
