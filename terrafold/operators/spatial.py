@@ -5,6 +5,10 @@ lower corners), so no pass over the pairs is needed to drop repetitions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +19,8 @@ from terrafold.functions.names import grid_id
 from terrafold.functions.numbers import MU_PER_M2
 
 BOX = ("minx", "miny", "maxx", "maxy")
+#: Pairs that a task looks at at once.
+AT_ONCE = 1 << 20
 
 
 def with_cells(boxes: DataFrame, cell: float) -> DataFrame:
@@ -100,10 +106,98 @@ def grid(bounds: DataFrame, size: float) -> DataFrame:
     return cells.select(grid_id(row, col).alias("grid_id"), row.alias("row"), col.alias("col"), (F.col("gx") * size).cast("double").alias("xmin_m"), (F.col("gy") * size).cast("double").alias("ymin_m"), F.lit(float(size)).alias("size_m"), F.lit(float(size * size)).alias("area_m2"))
 
 
+def _meeting(parcels: DataFrame, key: str, cell: float, made, schema: str) -> DataFrame:
+    """What ``made`` makes of the pairs of different parcels that share area, each met once.
+
+    Parcels are dealt out to cells, and a task goes through a cell in the order of minx: it holds those that reach as far
+    as the next ones begin, and no pair is shuffled. ``made`` gets the held rows (key column, minx, miny, maxx, maxy)
+    and the places of some pairs in them with their area, and gives arrays of columns."""
+    known = parcels.select(key, *BOX).where(" and ".join(f"`{c}` is not null" for c in (key, *BOX)))
+    cells = with_cells(known, cell).repartition("cell_x", "cell_y").sortWithinPartitions("cell_x", "cell_y", "minx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            old = 0
+            if held is not None:
+                stay = (held["cell_x"].to_numpy() == b["cell_x"][0].as_py()) & (held["cell_y"].to_numpy() == b["cell_y"][0].as_py()) & (held["maxx"].to_numpy() > b["minx"][0].as_py())
+                rows, old = pa.concat_tables([held.filter(pa.array(stay)), rows]), int(stay.sum())
+            rows = rows.combine_chunks()
+            x0, y0, x1, y1, cx, cy = (rows[c].to_numpy() for c in (*BOX, "cell_x", "cell_y"))
+            own_x, own_y = np.floor(x0 / cell) == cx, np.floor(y0 / cell) == cy
+            new = np.flatnonzero(np.append(True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])))
+            first = last = np.zeros(0, np.int64)
+            for a, z in zip(new.tolist(), [*new[1:].tolist(), len(cx)], strict=True):
+                # the later one of a pair begins in this cell and before the other ends
+                begin = a + int(np.searchsorted(own_x[a:z], True)) if own_x[a:z].any() else z
+                first = np.append(first, np.maximum(np.arange(a, z) + 1, max(begin, old)))
+                last = np.append(last, a + np.searchsorted(x0[a:z], x1[a:z]))
+            many = np.maximum(last - first, 0)
+            upto = np.append(0, np.cumsum(many))
+            k = 0
+            while k < len(many):
+                end = max(k + 1, int(np.searchsorted(upto, upto[k] + AT_ONCE, side="right")) - 1)
+                i = np.repeat(np.arange(k, end), many[k:end])
+                j = np.arange(len(i)) - np.repeat(upto[k:end] - upto[k], many[k:end]) + np.repeat(first[k:end], many[k:end])
+                k = end
+                ok = (own_y[i] | own_y[j]) & (y0[i] < y1[j]) & (y0[j] < y1[i])
+                i, j = i[ok], j[ok]
+                area = (np.minimum(x1[i], x1[j]) - x0[j]) * (np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j]))
+                ok = area > 0
+                if ok.any():
+                    yield from made(rows, i[ok], j[ok], area[ok])
+            tail = (cx == cx[-1]) & (cy == cy[-1])
+            held = rows.filter(pa.array(tail))
+
+    return cells.mapInArrow(run, schema)
+
+
+def _in_order(rows: pa.Table, key: str, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs are of different keys, and the places of their smaller and larger key."""
+    values = rows[key].to_numpy()
+    rank = values if values.dtype.kind in "iuf" else np.unique(values, return_inverse=True)[1]
+    apart = rank[i] != rank[j]
+    i, j = i[apart], j[apart]
+    less = rank[i] < rank[j]
+    return apart, np.where(less, i, j), np.where(less, j, i)
+
+
 def overlaps(parcels: DataFrame, key: str, cell: float, least_m2: float) -> DataFrame:
-    """Pairs of different parcels that share at least ``least_m2``: a, b (a < b) and the area."""
-    pairs = box_join(parcels.select(key, *BOX), parcels.select(key, *BOX), cell).where((F.col(key) < F.col(f"r_{key}")) & (F.col("area") >= least_m2))
-    return pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "area")
+    """Pairs of different parcels that share at least ``least_m2`` and some area: a, b (a < b) and the area."""
+
+    def made(rows: pa.Table, i: np.ndarray, j: np.ndarray, area: np.ndarray) -> Iterator[pa.RecordBatch]:
+        enough = area >= least_m2
+        apart, a, b = _in_order(rows, key, i[enough], j[enough])
+        area, keys = area[enough][apart], rows[key].combine_chunks()
+        for k in range(0, len(a), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a[some])), keys.take(pa.array(b[some])), pa.array(area[some])], ["a", "b", "area"])
+
+    kind = parcels.schema[key].dataType.simpleString()
+    return _meeting(parcels, key, cell, made, f"a {kind}, b {kind}, area double")
+
+
+def overlap_losses(parcels: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, lost_m2, overlaps): of overlapping parcels, the area each loses, as ``tables.kept_by_largest`` tells of pairs.
+
+    Pairs are summed up where they meet, so what is shuffled grows with the parcels, not with the pairs."""
+
+    def made(rows: pa.Table, i: np.ndarray, j: np.ndarray, area: np.ndarray) -> Iterator[pa.RecordBatch]:
+        apart, a, b = _in_order(rows, key, i, j)
+        x0, y0, x1, y1 = (rows[c].to_numpy() for c in BOX)
+        size = (x1 - x0) * (y1 - y0)
+        loser = np.where(size[a] >= size[b], b, a)
+        n = np.bincount(loser, minlength=len(size))
+        at = np.flatnonzero(n)
+        lost = np.bincount(loser, area[apart], len(size))
+        yield pa.RecordBatch.from_arrays([rows[key].combine_chunks().take(pa.array(at)), pa.array(lost[at]), pa.array(n[at].astype(np.int64))], [key, "lost_m2", "overlaps"])
+
+    kind = parcels.schema[key].dataType.simpleString()
+    sums = _meeting(parcels, key, cell, made, f"`{key}` {kind}, lost_m2 double, overlaps long")
+    return sums.groupBy(key).agg(F.sum("lost_m2").alias("lost_m2"), F.sum("overlaps").alias("overlaps"))
 
 
 def compared(left: DataFrame, right: DataFrame) -> DataFrame:
