@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
 from terrafold.operators import generalize, overlay, rasterize
+from terrafold.operators.ranges import written
 from terrafold.plans.fixtures import view
 from terrafold.plans.queries import query
 
@@ -123,7 +124,7 @@ k AS (SELECT gy, gx, c, (upto * need) // total - ((upto - c) * need) // total AS
 pl AS (SELECT row, col, gy, gx, row_number() OVER (PARTITION BY gy, gx ORDER BY row, col) - 1 AS place FROM last)
 SELECT row, col FROM kept UNION ALL SELECT row, col FROM free, cut WHERE coverage > level UNION ALL SELECT row, col FROM pl JOIN pick USING (gy, gx, place)""", "shape_points")
 def area_matched_shapes(spark, d):
-    s = shapes(spark, d)
+    s = written(shapes(spark, d), "shapes")  # read for the area, the coverage and the points
     area = overlay.overlay_area(s.select(F.lit(1).alias("u"), F.col("parcel_id").alias("gid"), F.lit(0).alias("side"), "rings"), ["u"], 250.0)
     return rasterize.area_matched(rasterize.coverage(s, "parcel_id", GRID), rasterize.reserved(s, GRID), area, GRID.size, 32)
 
